@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import quality, sharding
 
 QUERIES = {
     "op5_sharding": sharding.op5_sharding,
+    "op9_quality_rules": quality.op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
