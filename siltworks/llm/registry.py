@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import quality, sharding, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
     "op9_quality_rules": quality.op9_quality_rules,
 }
