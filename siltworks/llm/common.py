@@ -82,11 +82,6 @@ def ship(spark: SparkSession) -> None:
     context._siltworks_sent = True
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """A broadcast hint for a table whose row count is bounded by most_rows (by its construction)."""
-    return F.broadcast(df.limit(most_rows))
-
-
 def bucket_count(rows: int, per_bucket: int = 50_000, least: int = 64) -> int:
     """Buckets for a two-level rank: no bucket gets many more than per_bucket rows."""
     return max(least, -(-rows // per_bucket))
@@ -95,22 +90,15 @@ def bucket_count(rows: int, per_bucket: int = 50_000, least: int = 64) -> int:
 def two_level_rank(df: DataFrame, parts: list[str], spread: Column, order: list, buckets: int, out: str) -> DataFrame:
     """A gapless rank from 0 within parts, without one task for each part.
 
-    Rows are dealt to hash buckets of `spread`; the counts of buckets (parts x buckets rows) are summed up
-    first, then rows are numbered inside each bucket. parts takes few values (shards); its product with
-    `buckets` bounds what is broadcast.
+    Rows are dealt to hash buckets of `spread`; the counts of buckets are summed up first (rows: parts x buckets),
+    then rows are numbered inside each bucket. The columns in parts hold no nulls.
     """
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(spread, F.lit(17)), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(*parts, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*parts).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1) if parts else None
-    if parts:
-        offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-        keys = [dealt[c].eqNullSafe(offsets[c]) for c in [*parts, "_bucket"]]
-        joined = dealt.join(F.broadcast(offsets), [*parts, "_bucket"])
-    else:
-        before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-        joined = dealt.join(F.broadcast(offsets), ["_bucket"])
+    before = Window.partitionBy(*(parts or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*parts, "_bucket").orderBy(*order)
+    joined = dealt.join(offsets, [*parts, "_bucket"])
     return joined.withColumn(out, (F.row_number().over(inside) - 1 + F.col("_before")).cast("long")).drop("_bucket", "_before")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, toxicity
+from . import packing, quality, sharding, tokens, toxicity, transducer
 
 QUERIES = {
+    "op1_token_output": tokens.op1_token_output,
+    "op3_bpe_transducer": transducer.op3_bpe_transducer,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
