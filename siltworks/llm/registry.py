@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, sharding, tokens, toxicity, transducer
+from . import minhash, packing, quality, sharding, tokens, toxicity, transducer
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_minhash": minhash.op10_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
