@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash, packing, quality, sharding, tokens, toxicity, transducer
+from . import minhash, packing, quality, sharding, tokens, toxicity, transducer, vectors
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
+    "op2_metric_range_join": vectors.op2_metric_range_join,
     "op3_bpe_transducer": transducer.op3_bpe_transducer,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
