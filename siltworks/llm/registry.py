@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, packing, quality, sharding, suffixes, tokens, toxicity, transducer, vectors
+from . import minhash, packing, pitman_yor, quality, sharding, suffixes, tokens, toxicity, transducer, vectors
 
 QUERIES = {
     "op1_token_output": tokens.op1_token_output,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_pitman_yor": pitman_yor.op7_pitman_yor,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_minhash": minhash.op10_minhash,

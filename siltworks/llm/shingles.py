@@ -37,8 +37,9 @@ class Powers:
 POWERS = Powers()
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of all words of all texts in order, number of words of each text)."""
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words of all texts in order, number of words of each text, their last bytes, the bytes
+    before those, or 0)."""
     counts = np.zeros(len(texts), np.int64)
     joined = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(joined, np.uint8)
@@ -46,26 +47,27 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inner = ~white
     starts = np.flatnonzero(inner & np.concatenate([[True], white[:-1]]))
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64), counts, np.zeros(0, np.uint8), np.zeros(0, np.uint8)
     ends = np.flatnonzero(inner[:-1] & white[1:]) + 1
     lengths = ends - starts
     at = ragged(starts, lengths)
-    place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    hashes = np.add.reduceat(BYTE_VALUES[raw[at]] * POWERS.upto(int(lengths.max()))[place], np.cumsum(lengths) - lengths)
+    before = np.cumsum(lengths) - lengths
+    place = np.arange(len(at)) - np.repeat(before, lengths)
+    hashes = np.add.reduceat(BYTE_VALUES[raw[at]] * POWERS.upto(int(lengths.max()))[place], before)
     limits = np.cumsum([len(t) + 1 for t in texts])
-    upto = np.searchsorted(starts, limits)
-    counts[:] = np.diff(np.concatenate([[0], upto]))
-    return mix(hashes + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), counts
+    counts[:] = np.diff(np.concatenate([[0], np.searchsorted(starts, limits)]))
+    second = np.where(lengths > 1, raw[np.maximum(ends - 2, 0)], 0).astype(np.uint8)
+    return mix(hashes + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), counts, raw[ends - 1], second
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text (ASCII letters lower-cased). Fewer words than width: the whole
     sequence as one shingle; no words: empty."""
-    words, counts = word_hashes([t.lower() for t in texts])
+    hashes, counts, _, _ = words([t.lower() for t in texts])
     out = []
     end = 0
     for n in counts.tolist():
-        own = words[end : end + n]
+        own = hashes[end : end + n]
         end += n
         if n == 0:
             out.append(np.zeros(0, np.uint64))
