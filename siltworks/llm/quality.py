@@ -219,21 +219,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, rules: Rules | None = No
     refs = references(docs, rules)
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     taken = [c for c in keep if c not in names]
+    source = "text" if "text" in taken else "_text"
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text in batch["_text"]:
+            for text in batch[source]:
                 words, hist, base = counts(text)
                 failed = base_fails(rules, base[0], base[4])
                 kept, a, b = (False, None, None) if failed else verdict(rules, refs, words, hist, base[0])
                 rows.append((*base, failed, a, b, kept))
-            out = batch.drop(columns="_text")
+            out = batch[taken]
             made = pd.DataFrame(rows, columns=names, index=out.index)
             yield pd.concat([out, made.astype({"class_jsd": "float64", "word_jsd": "float64"})], axis=1)
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in taken), COLUMNS])
-    return docs.select(*taken, F.col("text").alias("_text")).mapInPandas(judge, schema)
+    return docs.select(*taken, *([F.col("text").alias("_text")] if source == "_text" else [])).mapInPandas(judge, schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

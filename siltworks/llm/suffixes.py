@@ -27,10 +27,10 @@ BUCKET_BYTES = 60_000
 COMBINE_ROWS = 1_000_000
 
 
-def _numbered(spark: SparkSession, stage: Stage, docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+def _numbered(spark: SparkSession, stage: Stage, docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, bool]:
     """doc_id, text and doc, a number that orders the documents: the id, or, where ids are null or repeated with
     different texts, a dense rank by (id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
     hashed = rows.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(9), "text").alias("h2"), F.octet_length("text").cast("long").alias("n_bytes"))
     ids = stage.write(hashed, "ids")
     plain = ids.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("n")).where("n > 1").limit(1).count() == 0
@@ -229,7 +229,7 @@ def covered(n: int, starts: np.ndarray, windows: np.ndarray, depth: int) -> tupl
     return change[::2], change[1::2]
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = 100, digests: bool = False, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = 100, digests: bool = False, whole_characters: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Removes repeated bytes from every whole text.
 
     docs: doc_id, text. A byte goes if a `depth`-byte string that covers it also starts earlier: in a document with
@@ -238,18 +238,20 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = 100, diges
     each. An empty table gives no rows.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal runs removed), and kept_sha256 (digests), or else kept (the
-    bytes that stay). whole_characters: only removes characters all of whose bytes go, and returns kept as text.
+    bytes that stay), and the input columns in keep. whole_characters: only removes characters all of whose bytes
+    go, and returns kept as text.
     """
     ship(spark)
     stage = Stage(spark, "suffixes")
-    numbers, rows, plain = _numbered(spark, stage, docs)
+    keep = [c for c in (keep or []) if c not in ("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")]
+    numbers, rows, plain = _numbered(spark, stage, docs, keep)
     firsts = numbers.groupBy("h1", "h2").agg(F.min("doc").alias("doc"))
     keys = [] if plain else ["h1", "h2"]
     if plain:
         copies = stage.write(numbers.join(firsts.withColumnRenamed("doc", "first"), ["h1", "h2"]).where("doc <> first").select("doc"), "copies")
         few = copies.count() <= MOST_BROADCAST
         known = rows.withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"]) if numbers.count() != rows.count() else rows.withColumnRenamed("doc_id", "doc")
-        texts = known.join(F.broadcast(copies) if few else copies, "doc", "left_anti")
+        texts = known.select("doc", "text").join(F.broadcast(copies) if few else copies, "doc", "left_anti")
     else:
         named = rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(9), "text"))
         texts = named.join(firsts, keys).dropDuplicates(["doc"]).select("doc", "text")
@@ -277,17 +279,19 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = 100, diges
                 out.append((len(raw), int((ends - begins).sum()), len(begins), hashlib.sha256(kept).hexdigest() if digests else kept.decode("utf-8") if whole_characters else kept))
             columns = list(zip(*out, strict=True)) or [()] * 4
             last = pa.string() if digests or whole_characters else pa.binary()
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), last), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", name])
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), last), strict=True)]
+            yield pa.record_batch([batch.column(0), *made, *batch.columns[4:]], ["doc_id", "n_bytes", "n_removed", "n_spans", name, *keep])
 
     name = "kept_sha256" if digests else "kept"
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {name} " + ("string" if digests or whole_characters else "binary")
+    schema = ", ".join([schema, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
     if plain:
         joined = rows.join(facts.select("doc_id", "copy", "cuts"), "doc_id", "left")
     else:
         named = rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(9), "text"))
         facts = facts.withColumnRenamed("doc_id", "_id")
         joined = named.join(facts, (named["doc_id"].eqNullSafe(facts["_id"])) & (named["h1"] == facts["h1"]) & (named["h2"] == facts["h2"]), "left")
-    return joined.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "cuts").mapInArrow(work, schema)
+    return joined.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "cuts", *(f"`_keep_{c}`" for c in keep)).mapInArrow(work, schema)
 
 
 def _to_characters(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

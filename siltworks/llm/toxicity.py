@@ -280,16 +280,17 @@ def toxicity(
     """
     ship(spark)
     keep = [c for c in (keep or ["doc_id"]) if c not in ("score", "predicted")]
+    text = "text" if "text" in keep else "_text"
     grammar = learn(docs, labelled.select("doc_id", "toxic"), most_labelled, stem_lengths, least_docs, least_share, least_odds, most_patterns)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(grammar)
         for batch in batches:
-            scores = np.array([matcher.score(matcher.readings(t)) for t in batch["_text"]], float)
-            yield batch.drop(columns="_text").assign(score=scores, predicted=(scores >= 0.5).astype("int32"))
+            scores = np.array([matcher.score(matcher.readings(t)) for t in batch[text]], float)
+            yield batch[keep].assign(score=scores, predicted=(scores >= 0.5).astype("int32"))
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double", "predicted int"])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(judge, schema)
+    return docs.select(*keep, *([F.col("text").alias("_text")] if text == "_text" else [])).mapInPandas(judge, schema)
 
 
 def held_out(doc_id: Column) -> Column:
