@@ -1,0 +1,178 @@
+"""Small cases worked out by hand."""
+
+import math
+import random
+
+import pytest
+
+from siltworks.functions import hashing
+from siltworks.operators import clustering, graph, itemsets, recommend, relational, similarity, sketches
+from siltworks.sources import readers, sinks
+from pyspark.sql import functions as F
+
+
+def frame(spark, data, schema):
+    return spark.createDataFrame(data, schema)
+
+
+def test_frequent_sets(spark, rows):
+    baskets = {1: "abc", 2: "ab", 3: "ac", 4: "b"}
+    long = frame(spark, [(k, i) for k, v in baskets.items() for i in v], "basket long, item string")
+    found = itemsets.frequent_sets(long, 2).select("k", F.array_join("items", "").alias("s"), "n")
+    assert rows(found) == [(1, "a", 3), (1, "b", 3), (1, "c", 2), (2, "ab", 2), (2, "ac", 2)]
+    lines = rows(sinks.itemset_lines(itemsets.frequent_sets(long, 2)))
+    assert lines == [(1, "('a'),('b'),('c')"), (2, "('a', 'b'),('a', 'c')")]
+
+
+def test_two_passes_lose_no_frequent_set(spark, rows):
+    rng = random.Random(3)
+    long = frame(spark, sorted({(b, rng.choice("abcdef")) for b in range(60) for _ in range(3)}), "basket long, item string")
+    frequent = {tuple(r["items"]) for r in itemsets.frequent_sets(long, 8).where("k = 2").collect()}
+    assert frequent <= {tuple(r["items"]) for r in itemsets.candidates(long, 8, 2).collect()}
+
+
+def test_possible_sets(spark):
+    pairs = frame(spark, [(["a", "b"],), (["a", "c"],), (["d", "e"],)], "items array<string>")
+    assert [r["items"] for r in itemsets.possible_sets(pairs).collect()] == [["a", "b", "c"]]
+
+
+def test_transaction_baskets(spark, rows):
+    t = frame(spark, [('"1/1"', '"007"', f'"00{i}"') for i in (1, 2, 2)] + [("1/1", "8", "1")], "date string, customer_id string, product_id string")
+    assert rows(itemsets.transaction_baskets(t, 1)) == [("1/1-7", "1"), ("1/1-7", "2")]
+
+
+def test_jaccard(spark, rows):
+    pairs = frame(spark, [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (2, 4), (3, 9)], "item long, member long")
+    assert rows(similarity.similar_pairs_exact(pairs, 0.5)) == [(1, 2, 0.5)]
+    assert {r[:2] for r in rows(similarity.similar_pairs(pairs, 0.5))} <= {(1, 2)}
+
+
+@pytest.mark.parametrize("ratings,expected", [([(1, 2), (2, 4), (3, 6)], 1.0), ([(3, 1), (3, 5)], 0.0), ([(3, 4)], 0.0)])
+def test_pearson(spark, ratings, expected):
+    train = frame(spark, [(u, i, s) for u, pair in enumerate(ratings) for i, s in enumerate(pair)], "user long, item long, stars long")
+    needed = frame(spark, [(0, 1)], "item_a long, item_b long")
+    assert recommend.item_pearson(train, needed).first()["w"] == pytest.approx(expected)
+
+
+def test_cold_start(spark):
+    train = frame(spark, [(1, 10, 4), (1, 11, 4)], "user long, item long, stars long")
+    wanted = frame(spark, [(1, 10), (2, 11), (1, 99), (2, 99)], "user long, item long")
+    got = {(r["user"], r["item"]): r["prediction"] for r in recommend.predict(train, wanted).collect()}
+    assert got[1, 10] == pytest.approx(3.875243664717349)
+    assert got[1, 99] == pytest.approx(3.9201954397394134)
+    assert got[2, 99] == pytest.approx(3.628701193699879)
+
+
+def test_useful_mean(spark):
+    reviews = frame(spark, [("b", 5.0, 0), ("b", 1.0, 50)], "business_id string, stars double, useful long")
+    assert recommend.useful_mean(reviews).first()["rate"] == pytest.approx(350 / 150)
+
+
+def test_blend_buckets(spark):
+    counts = [50, 51, 100, 101, 200, 201, 300, 301, 500, 501, 1000, 1001, None]
+    got = [r["b"] for r in frame(spark, [(i, c) for i, c in enumerate(counts)], "i int, c long").withColumn("b", recommend.blend_bucket(F.col("c"))).orderBy("i").collect()]
+    assert got == [6, 5, 5, 4, 4, 3, 3, 2, 2, 1, 1, 0, None]
+
+
+def test_evaluation(spark, rows):
+    rated = frame(spark, [(1.0, 1.5), (1.0, 5.0)], "prediction double, stars double")
+    out = rows(recommend.evaluate(rated))
+    assert [(b, n) for b, n, _ in out] == [(0, 1), (4, 1)] and out[0][2] == pytest.approx(math.sqrt((0.25 + 16) / 2))
+
+
+def edges(spark, pairs):
+    return frame(spark, pairs, "src string, dst string")
+
+
+@pytest.mark.parametrize("way", [graph.edge_betweenness, graph.edge_betweenness_by_roots])
+def test_betweenness(spark, rows, way):
+    assert rows(way(edges(spark, [("a", "b"), ("b", "c")]))) == [("a", "b", 2.0), ("b", "c", 2.0)]
+    assert rows(way(edges(spark, [("a", "b"), ("b", "c"), ("a", "c")]))) == [("a", "b", 1.0), ("a", "c", 1.0), ("b", "c", 1.0)]
+
+
+def test_modularity_components_and_labels(spark, rows):
+    two = edges(spark, [("a", "b"), ("c", "d")])
+    groups = graph.components(two)
+    assert rows(groups) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")]
+    assert graph.modularity(two, groups).first()["q"] == pytest.approx(0.375)
+    triangles = frame(spark, [(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6)], "src long, dst long")
+    assert graph.label_propagation(triangles).select("label").distinct().count() == 2
+
+
+def test_girvan_newman_splits_at_the_bridge(spark, rows):
+    pairs = [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6)]
+    rounds, groups = graph.girvan_newman(frame(spark, pairs, "src long, dst long"))
+    assert rows(groups) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)]
+    assert rounds.count() >= 2
+
+
+def test_bloom(spark, rows):
+    stream = frame(spark, [(0, 0, "x"), (0, 1, "y"), (1, 2, "x"), (1, 3, "z"), (2, 4, "x")], "ask long, seq long, id string")
+    out = rows(sketches.bloom_false_positives(stream))
+    assert out[0] == (0, 2, 0, 0.0) and out[1][1] == 1 and out[2] == (2, 0, 0, None)
+
+
+def test_hash_of_bytes(spark):
+    for text in ("", "a", "user-17", "Ünïcode"):
+        for j, (a, b, p) in enumerate(hashing.STREAM_HASHES):
+            x = int.from_bytes(text.encode(), "big")
+            assert spark.range(1).select(hashing.stream_hash(F.lit(text), j).alias("h")).first()["h"] == (a * x + b) % p
+
+
+def test_trailing_zeros(spark):
+    got = [r["z"] for r in frame(spark, [(x,) for x in (0, 1, 2, 4, 8)], "x long").select(hashing.trailing_zeros(F.col("x")).alias("z")).collect()]
+    assert got == [1, 0, 1, 2, 3]
+
+
+def test_reservoir_replays(spark):
+    stream = frame(spark, [(0, i, str(i)) for i in range(1000)], "ask long, seq long, id string")
+    import hashlib
+
+    slots = {}
+    expected = []
+    for n in range(1, 1001):
+        digest = hashlib.md5(str(n).encode()).hexdigest()
+        u, w = int(digest[:8], 16) / 2**32, int(digest[8:16], 16) / 2**32
+        if n <= 100:
+            slots[n - 1] = str(n - 1)
+        elif u < 100 / n:
+            slots[int(100 * w)] = str(n - 1)
+        if n % 100 == 0:
+            expected.append((n, *(slots[s] for s in (0, 20, 40, 60, 80))))
+    assert [tuple(r) for r in sketches.reservoir(stream).orderBy("seqnum").collect()] == expected
+
+
+def test_bfr_blobs(spark):
+    rng = random.Random(5)
+    data = [(i, [rng.gauss(c, 0.1), rng.gauss(-c, 0.1)]) for i, c in enumerate([0, 10] * 100)] + [(999, [500.0, 500.0])]
+    rounds, labels = clustering.Bfr(2).run(frame(spark, data, "id long, features array<double>"))
+    got = {r["id"]: r["label"] for r in labels.collect()}
+    assert len(got) == 201 and got[999] == -1
+    assert len({got[i] for i in range(0, 200, 2)} - {-1}) == 1
+    assert all(r["n_ds"] + r["n_cs"] + r["n_rs"] > 0 for r in rounds.collect())
+    assert rounds.orderBy(F.desc("round")).first()["n_ds"] + rounds.orderBy(F.desc("round")).first()["n_cs"] + rounds.orderBy(F.desc("round")).first()["n_rs"] == 201
+
+
+def test_city_average_and_profiles(spark, rows):
+    reviews = frame(spark, [("u", "b1", 4.0), ("u", "b1", 2.0), ("v", "b2", 5.0), ("v", "b3", 1.0)], "user_id string, business_id string, stars double")
+    cities = frame(spark, [("b1", "X"), ("b2", "Y")], "business_id string, city string")
+    assert rows(relational.city_average(reviews, cities)) == [("X", 3.0), ("Y", 5.0)]
+    assert relational.city_average(reviews, cities, None, "left").count() == 3
+    assert rows(relational.partition_profile(spark.range(5), 3, "id")) == [(0, 2), (1, 2), (2, 1)]
+    assert sum(r["n_items"] for r in relational.physical_profile(spark.range(50), 4, "id").collect()) == 50
+
+
+def test_sources_and_sinks(spark, tmp_path, rows):
+    (tmp_path / "r.json").write_text('{"user_id": "u", "stars": 4.0}\nnot json\n')
+    assert readers.ndjson(spark, str(tmp_path / "r.json"), "user_id string, stars double").count() == 2
+    (tmp_path / "p.csv").write_text("user_id,business_id,stars\nu,b,3.0\n")
+    assert rows(readers.ratings(spark, str(tmp_path / "p.csv"))) == [("u", "b", 3.0)]
+    (tmp_path / "x.txt").write_text("1,0,0.5,1.5\n2,-1,2,3\n")
+    assert rows(readers.points(spark, str(tmp_path / "x.txt"))) == [("1", [0.5, 1.5]), ("2", [2.0, 3.0])]
+    (tmp_path / "t.csv").write_text('"d","c","x","y","z","p"\n"1/1","1","","","","9"\n')
+    assert rows(readers.transactions(spark, str(tmp_path / "t.csv"))) == [("1/1", "1", "9")]
+    lines = frame(spark, [(1, "b"), (0, "a")], "n int, line string")
+    sinks.to_lines(lines, str(tmp_path / "out"), ["n"])
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a", "b"]
+    report = sinks.betweenness_lines(frame(spark, [("a", "b", 1.5)], "src string, dst string, betweenness double"))
+    assert report.first()["line"] == "('a', 'b'), 1.5"
