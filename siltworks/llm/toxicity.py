@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import ship, table
 
-# Function words of the grammar in the languages of the corpus.
+# Seeds and function words of the grammar in the languages of the corpus.
 THREATS = ("kill you", "kill them", "hurt you", "beat you", "shoot you", "hunt you", "burn you", "destroy you", "make you pay", "you will die", "töte dich", "bringe dich um", "te voy a matar", "vais te tuer")
+INSULTS = frozenset("idiot idiots moron morons stupid loser losers trash scum pathetic worthless disgusting clown imbecile dumbass bastard bitch asshole idiota estúpido imbécil imbécile connard salaud idiotin dummkopf arschloch vollidiot".split())
+SEED_WEIGHT = 4.0
 TARGETS = frozenset("you your you're youre u he she they them him her his their this these those i we du dich dir ihr euch sie er tu te toi vous ton ta il elle ils tú usted ustedes ellos ella él".split())
 NEGATIONS = frozenset("not no never isn't aren't wasn't don't doesn't hardly without neither nor nicht kein keine keinen nie niemals ne pas jamais non nunca jamás ni".split())
 REPORTS = frozenset("said says wrote writes called quoted quote reported reports claimed term word phrase sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
@@ -175,16 +177,19 @@ def _features(text: str, stem_lengths: tuple[int, ...]) -> set[str]:
     return {f"w:{w}" for w in words} | {f"s:{w[:n]}" for w in words for n in stem_lengths if len(w) > n}
 
 
-def learn(docs: DataFrame, labelled: DataFrame, most_labelled: int, stem_lengths: tuple[int, ...], least_docs: int, least_share: float, least_odds: float, most_patterns: int) -> Grammar:
+def learn(docs: DataFrame, labelled: DataFrame, most_labelled: int, stem_lengths: tuple[int, ...], least_docs: int, least_share: float, least_odds: float, most_patterns: int, chance: float = 0.05) -> Grammar:
     """Learns the weights from at most most_labelled labelled documents (those of lowest hashed id).
 
-    labelled: doc_id, toxic. Equal texts count once. A pattern needs least_docs toxic documents, least_share of them
-    and least_odds (natural log-odds ratio). Documents are counted by word and word beginning in Spark; what reaches the driver is
+    labelled: doc_id, toxic. A pattern needs least_docs toxic documents, least_share of them, least_odds (natural
+    log-odds ratio), and a likelihood ratio that less than `chance` of all patterns would reach without any relation to
+    the labels. Documents are counted by word and word beginning in Spark; what reaches the driver is
     most_patterns patterns, then a row of readings for each labelled document of the bounded sample.
     """
     chosen = labelled.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").dropDuplicates().persist()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    # near copies of one text are no independent evidence: texts count once for each beginning and each end
+    sample = sample.withColumns({"_head": F.left("text", F.lit(48)), "_tail": F.right("text", F.lit(48))}).dropDuplicates(["_head"]).dropDuplicates(["_tail"]).select("text", "toxic").persist()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -198,19 +203,23 @@ def learn(docs: DataFrame, labelled: DataFrame, most_labelled: int, stem_lengths
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
         sample.unpersist()
-        return Grammar()
+        return Grammar(words=dict.fromkeys(INSULTS, SEED_WEIGHT))
     odds = F.log((F.col("pos") + 0.1) / (n_pos + 0.2)) - F.log((F.col("neg") + 0.1) / (n_neg + 0.2))
+    share = n_pos / (n_pos + n_neg)
+    df = F.col("pos") + F.col("neg")
+    surprise = F.col("pos") * F.log(F.col("pos") / (df * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (df * (1 - share)))).otherwise(F.lit(0.0))
+    counted = sample.mapInPandas(count, "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).persist()
+    patterns = max(1, counted.count())
     found = (
-        sample.mapInPandas(count, "name string, pos long, neg long")
-        .groupBy("name")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .where(F.col("pos") >= max(least_docs, least_share * n_pos))
+        counted.where(F.col("pos") >= max(least_docs, least_share * n_pos))
         .withColumn("odds", odds)
-        .where(F.col("odds") >= least_odds)
+        .where((F.col("odds") >= least_odds) & (surprise >= math.log(patterns / chance)))
         .orderBy(F.desc("pos"), F.desc("odds"), F.length("name"), "name")
         .limit(most_patterns)
         .collect()
     )
+    seeded = {r["name"][2:]: r for r in counted.where(F.col("name").isin([f"w:{w}" for w in INSULTS])).collect()}
+    counted.unpersist()
     words, stems = {}, {}
     best_stems = {r["name"][2:]: r for r in found if r["name"].startswith("s:")}
     for name, r in best_stems.items():
@@ -222,6 +231,10 @@ def learn(docs: DataFrame, labelled: DataFrame, most_labelled: int, stem_lengths
             w = r["name"][2:]
             if not any(w[:k] in stems for k in range(2, len(w))):
                 words[w] = float(min(6.0, r["odds"]))
+    for w in INSULTS:
+        # a seed counts unless the labels speak against it
+        if w not in words and not any(w[:k] in stems for k in range(2, len(w) + 1)) and (w not in seeded or seeded[w]["pos"] * n_neg > 3 * seeded[w]["neg"] * n_pos):
+            words[w] = SEED_WEIGHT
     grammar = Grammar(words=words, stems=stems)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,7 +288,7 @@ def toxicity(
 
     docs: doc_id, text; labelled: doc_id, toxic (rows with nulls are left out; an id labelled twice counts once, as
     toxic if any row says so). Null and empty texts match no clause and get the lowest score. Labels of one kind
-    only, or none, leave the grammar's fixed threats. Repeated rows are scored one by one; an empty table gives no
+    only, or none, leave the grammar's seeds and threats. Repeated rows are scored one by one; an empty table gives no
     rows. keep: input columns to return, doc_id by default; those named score or predicted are dropped.
     """
     ship(spark)
