@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+MOST_BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +72,9 @@ class Stage:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once, so that Python workers can import it wherever they run."""
+    """Sends this package to the executors once, so that Python workers can import it wherever they run, and bounds
+    the batches that they get by bytes, since texts may be very long."""
+    spark.conf.set(BATCH_KEY, str(MOST_BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_siltworks_sent", False):
         return
@@ -82,6 +87,13 @@ def ship(spark: SparkSession) -> None:
     context._siltworks_sent = True
 
 
+def slices(batches: Iterator, rows: int) -> Iterator:
+    """Smaller Arrow batches, for work that makes Python objects of their rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def bucket_count(rows: int, per_bucket: int = 50_000, least: int = 64) -> int:
     """Buckets for a two-level rank: no bucket gets many more than per_bucket rows."""
     return max(least, -(-rows // per_bucket))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, ship, table
+from .common import Stage, ship, slices, table
 from .shingles import words
 
 SINGLY = 48
@@ -177,7 +177,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
     own, begin, size = column.to_pylist(), 0, 0
     for i, t in enumerate(own):
         size += len(t or "")
-        if size >= 500_000 or i + 1 == len(own):
+        if size >= 250_000 or i + 1 == len(own):
             yield begin, i + 1, [(x or "").encode("utf-8", "surrogatepass") for x in own[begin : i + 1]]
             begin, size = i + 1, 0
 
@@ -194,15 +194,15 @@ def _count(docs: DataFrame) -> DataFrame:
             keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
             return keys, np.bincount(inverse, n).astype(np.int64), tails[first]
 
-        for batch in batches:
+        for batch in slices(batches, 1_024):
             for _, _, texts in _texts(batch.column(0)):
                 hashes, _, last, second, _ = tokens(texts)
                 held.append((hashes, np.ones(len(hashes), np.int64), last.astype(np.int64) * 256 + second))
                 rows += len(hashes)
-                if rows > 3_000_000:
+                if rows > 800_000:
                     held = [squeezed()]
                     rows = len(held[0][0])
-                    if rows > 1_500_000:
+                    if rows > 400_000:
                         yield made(held[0])
                         held, rows = [], 0
         if held:
@@ -232,7 +232,7 @@ def _postings(docs: DataFrame, vocabulary, settings: Settings, buckets: int) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        often = np.zeros(len(v.hashes) * settings.rooms, np.int64)
+        often = np.zeros(len(v.hashes) * settings.rooms, np.int32)
         held: list[tuple[np.ndarray, ...]] = []
         rows = 0
 
@@ -245,7 +245,7 @@ def _postings(docs: DataFrame, vocabulary, settings: Settings, buckets: int) ->
                 if len(at):
                     yield _pack(b, word[at], room[at], doc[at], count[at])
 
-        for batch in batches:
+        for batch in slices(batches, 1_024):
             doc, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             for begin, end, texts in _texts(batch.column(2)):
                 hashes, counts, last, second, first = tokens(texts)
@@ -254,18 +254,19 @@ def _postings(docs: DataFrame, vocabulary, settings: Settings, buckets: int) ->
                 of = np.repeat(np.arange(begin, end), counts)
                 trained = train[of]
                 mine = trained & (known >= 0)
-                np.add.at(often, known[mine] * settings.rooms + room[mine], 1)
+                at, n = np.unique(known[mine] * settings.rooms + room[mine], return_counts=True)
+                often[at] += n
                 rare = known < 0
                 held.append((hashes[rare], room[rare], doc[of[rare]], np.where(trained[rare], 0, -1)))
                 rows += int(rare.sum())
-                if rows > 1_000_000:
+                if rows > 500_000:
                     yield from dealt(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held, rows = [], 0
         if held:
             yield from dealt(*(np.concatenate(x) for x in zip(*held, strict=True)))
         at = np.flatnonzero(often)
         if len(at):
-            yield from dealt(v.hashes[at // settings.rooms], at % settings.rooms, np.full(len(at), -1), often[at])
+            yield from dealt(v.hashes[at // settings.rooms], at % settings.rooms, np.full(len(at), -1), often[at].astype(np.int64))
 
     return docs.select("doc", "train", "text").mapInArrow(work, PACKED)
 
@@ -407,7 +408,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, is_held_out: Column, s
     parent[:m] = class_of(tails[:m] // 256, tails[:m] % 256, settings.classes)
     vocabulary = Vocabulary(hashes[order], np.array([r["n"] for r in top], np.int64)[order], np.where(rank < settings.leaves, rank, -1)[order], parent, int(n), int(types))
     sent = spark.sparkContext.broadcast(vocabulary)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
     posted = stage.write(_postings(flagged, sent, settings, buckets), "postings")
     gathered = stage.write(_gather(posted, buckets), "gathered")
     stage.drop(posted)
@@ -425,7 +426,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, is_held_out: Column, s
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, logs = sent.value, chances.value
-        for batch in batches:
+        for batch in slices(batches, 1_024):
             doc = batch.column(0).to_numpy()
             for begin, end, texts in _texts(batch.column(1)):
                 found, counts_, last, second, first = tokens(texts)
