@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from .anchors import Hasher
 from .bwt import repeated
-from .common import Stage, ship, table
+from .common import Stage, ship, slices, table
 
 ANCHOR_BYTES = 32
 MOST_BROADCAST = 1_000_000
 MOST_SEGMENTS = 2_048
 BUCKET_BYTES = 60_000
-COMBINE_ROWS = 1_000_000
+COMBINE_ROWS = 500_000
 
 
 def _numbered(spark: SparkSession, stage: Stage, docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, bool]:
@@ -58,7 +58,7 @@ def _segments(texts: DataFrame, depth: int) -> DataFrame:
             sure = np.concatenate([[False], (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])])
             return pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(sure)], ["anchor", "content", "doc", "start", "windows", "sure"])
 
-        for batch in batches:
+        for batch in slices(batches, 2_048):
             docs = batch.column(0).to_numpy()
             texts_, begin, size = batch.column(1).to_pylist(), 0, 0
             for i, t in enumerate(texts_):
@@ -164,7 +164,7 @@ def _merge(segments: DataFrame, depth: int) -> DataFrame:
         texts: list[bytes] = []
         rows: list[np.ndarray] = []
         key, size, group = None, 0, 0
-        for batch in batches:
+        for batch in slices(batches, 4_096):
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             meta = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (3, 4, 5, 2)], axis=1)
             for i, (k, t) in enumerate(zip(keys, batch.column(6).to_pylist(), strict=True)):
@@ -197,7 +197,7 @@ def removed_windows(spark: SparkSession, stage: Stage, texts: DataFrame, depth:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "part", "parts", "doc", "start", "windows", "bytes"]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        for batch in batches:
+        for batch in slices(batches, 128):
             out = []
             for doc, text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -262,7 +262,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = 100, diges
     facts = whole.join(cuts, "doc", "left").where("copy OR cuts IS NOT NULL")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 512):
             out = []
             cut_lists = batch.column(3)
             for i, (text, copy) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
