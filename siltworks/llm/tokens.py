@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .bpe import library_pieces
 from .common import Stage, ship, table
@@ -92,20 +91,22 @@ def write_token_file(spark: SparkSession, docs: DataFrame, path: str, tokenizer:
     packed = quantise(counts).to_bytes()
     spark.createDataFrame([(bytearray(packed),)], "frequencies binary").coalesce(1).write.parquet(f"{path}/table")
 
-    sizes = raw.groupBy("part").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # one number for each part of the shuffle, so that the ids need not be shuffled again to be joined with theirs
+    sizes = sorted((r["part"], r["n"]) for r in raw.groupBy("part").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n")).collect())
+    starts, total = {}, 0
+    for part, n in sizes:
+        starts[part] = total
+        total += n
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(packed)
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], "<u4")
-                payload = coder.encode(ids, np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], "u1"), np.frombuffer(row["doc_lengths"], "<u4"), row["before"] + row["start_in_part"])
+                payload = coder.encode(ids, np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], "u1"), np.frombuffer(row["doc_lengths"], "<u4"), starts[row["part"]] + row["start_in_part"])
                 yield pa.record_batch([pa.array([row["part"]], pa.int32()), pa.array([row["block"]], pa.int32()), pa.array([payload], pa.binary())], ["part", "block", "payload"])
 
-    placed = raw.join(starts, "part").select("part", "block", "start_in_part", "before", "doc_ids", "nulls", "doc_lengths", "ids")
-    placed.mapInArrow(encode, "part int, block int, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    raw.mapInArrow(encode, "part int, block int, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     stage.drop(raw)
 
 
