@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, components, ship, table
+from .common import Stage, components, ship, slices, table
 from .shingles import minhash_factors, mix, shingle_sets, signature
 
 BUCKETS = 1 << 20
@@ -31,18 +31,12 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column(column).to_pylist()]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
-
-
 def signatures(docs: DataFrame, width: int, coordinates: int, seed: int) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit key and its signature (null: no shingles)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = minhash_factors(coordinates, seed)
-        for batch in _slices(batches):
+        for batch in slices(batches, 128):
             sets = shingle_sets(_texts(batch, 1), width)
             keys = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
             signed = [signature(s, factors).astype("<u4").tobytes() if len(s) else None for s in sets]
@@ -58,7 +52,7 @@ def _values(sig: pa.Array, coordinates: int) -> np.ndarray:
 
 
 def postings(classes: DataFrame, coordinates: int, prefix: int) -> DataFrame:
-    """Rows (value, rep): each class under the `prefix` rarest of its coordinate values.
+    """Rows (value, rep, size): each class under the `prefix` rarest of its coordinate values.
 
     How often a value occurs is counted over all classes in 2^20 hashed counters; any order that is the same for
     all classes gives the same pairs, so counters that several values share only cost time.
@@ -86,9 +80,10 @@ def postings(classes: DataFrame, coordinates: int, prefix: int) -> DataFrame:
             order = np.lexsort((values, table_[(values >> np.uint64(44)).astype(np.int64)]), axis=1)[:, :prefix]
             own = np.take_along_axis(values, order, 1)
             reps = np.repeat(batch.column(0).to_numpy(), prefix)
-            yield pa.record_batch([pa.array(own.ravel().view(np.int64)), pa.array(reps, pa.int64())], ["value", "rep"])
+            sizes = np.repeat(batch.column(2).to_numpy(), prefix)
+            yield pa.record_batch([pa.array(own.ravel().view(np.int64)), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64())], ["value", "rep", "size"])
 
-    return classes.select("rep", "sig").mapInArrow(post, "value long, rep long")
+    return classes.select("rep", "sig", "n_shingles").mapInArrow(post, "value long, rep long, size long")
 
 
 def confirm(spark: SparkSession, stage: Stage, docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, threshold: int) -> DataFrame:
@@ -100,15 +95,15 @@ def confirm(spark: SparkSession, stage: Stage, docs: DataFrame, classes: DataFra
             keep = pa.array((left == right).sum(axis=1) >= threshold)
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
-    sig_a = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
-    sig_b = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
-    near = pairs.join(sig_a, "a").join(sig_b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    sig_a = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
+    sig_b = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
+    near = pairs.join(sig_a, "a").join(sig_b, "b")
     near = stage.write(near.select("a", "b", "sig_a", "sig_b").mapInArrow(agree, "a long, b long").distinct(), "near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     wanted = stage.write(wanted, "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches, 128):
             yield pa.record_batch([batch.column(0), pa.array([s.astype("<u8").tobytes() for s in shingle_sets(_texts(batch, 1), width)], pa.binary())], ["doc_id", "shingles"])
 
     # the list of ids is sent to all only while it is known to be short
@@ -136,9 +131,9 @@ def near_duplicates(
     docs: DataFrame,
     width: int = 5,
     percent: int = 80,
-    coordinates: int = 48,
-    threshold: int = 24,
-    stars: int = 2,
+    coordinates: int = 128,
+    threshold: int = 83,
+    stars: int = 3,
     seed: int = 1,
 ) -> DataFrame:
     """Groups of near-duplicate documents: doc_id, n_shingles, component_id and kept, a row for each row of docs.
@@ -146,8 +141,8 @@ def near_duplicates(
     docs: doc_id, text. Linked are documents with 100 * intersection >= percent * union of their sets of `width`-word
     shingles (ASCII letters lower-cased; a text of fewer words is one shingle). Null, empty and blank texts have no
     shingles and are linked with nothing. Rows of one doc_id are one document. Rows without a doc_id are kept as
-    they are, without a component. A pair just at 80 percent agrees in fewer than 24 of 48 coordinates with a
-    probability below 1e-6, which is the only way to miss a link. An empty table gives no rows.
+    they are, without a component. A pair just at 80 percent agrees in fewer than 83 of 128 coordinates with a
+    probability below 1e-5, which is the only way to miss a link. An empty table gives no rows.
     """
     ship(spark)
     stage = Stage(spark, "minhash")
@@ -155,20 +150,27 @@ def near_duplicates(
     classes = rows.where("doc_id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = stage.write(classes, "classes")
     posted = stage.write(postings(classes, coordinates, coordinates - threshold + 1), "postings")
-    lists = posted.groupBy("value").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1").select("value", "hub")
+    lists = posted.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("rep", "size")).alias("hub")).where("n > 1").select("value", "hub")
     members = stage.write(posted.join(lists, "value"), "members")
     stage.drop(posted)
+
+    def fits(x: Column, y: Column) -> Column:
+        """Sets whose sizes allow the similarity."""
+        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
     links = stage.write(members.limit(0).select(F.col("rep").alias("a"), F.col("rep").alias("b")), "links")
     groups = None
     for turn in range(stars + 1):
         if turn == stars:
-            left = members.select("value", F.col("rep").alias("a"), F.col("component").alias("ca"))
-            right = members.select("value", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            met = left.join(right, "value").where("a < b AND ca <> cb").select("a", "b")
+            left = members.select("value", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"))
+            right = members.select("value", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"))
+            met = left.join(right, "value").where("a < b AND ca <> cb").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
         else:
-            apart = F.lit(True) if turn == 0 else F.col("component") != F.col("hub_component")
-            met = members.where("rep <> hub").where(apart).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        found = confirm(spark, stage, docs, classes, met.distinct(), width, percent, threshold)
+            apart = F.col("rep") != F.col("hub.rep")
+            if turn:
+                apart = apart & (F.col("component") != F.col("hub.component"))
+            met = members.where(apart & fits(F.col("size"), F.col("hub.size"))).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
+        found = confirm(spark, stage, docs, classes, met.distinct(), width, threshold=threshold, percent=percent)
         following = stage.write(links.union(found), "links")
         fresh = found.limit(1).count() > 0
         stage.drop(links, found)
@@ -177,11 +179,13 @@ def near_duplicates(
             groups = stage.write(components(spark, stage, links), "components")
         if turn == stars:
             break
+        # what was a list's hub has met all others; the next one is picked by a hash, another one for each list
         named = groups.withColumnRenamed("node", "rep")
-        rest = members.where("rep <> hub").select("value", "rep").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        rest = members.where(F.col("rep") != F.col("hub.rep")).select("value", "rep", "size").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         rest = stage.write(rest, "rest")
-        open_ = rest.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("rep", "component")).alias("hub")).where("low <> high")
-        following = stage.write(rest.join(open_.select("value", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("hub_component")), "value"), "members")
+        pick = F.min(F.struct(F.xxhash64("value", "rep", F.lit(turn)).alias("order"), "rep", "size", "component")).alias("hub")
+        open_ = rest.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), pick).where("low <> high")
+        following = stage.write(rest.join(open_.select("value", "hub"), "value"), "members")
         stage.drop(members, rest)
         members = following
         if members.limit(1).count() == 0:

@@ -85,7 +85,7 @@ def minhash_factors(coordinates: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, (2, coordinates), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(shingles: np.ndarray, factors: np.ndarray, rows: int = 4_096) -> np.ndarray:
+def signature(shingles: np.ndarray, factors: np.ndarray, rows: int = 512) -> np.ndarray:
     """The upper 32 bits of the least value of each coordinate's hash over a set that is not empty."""
     a, b = factors
     out = np.full(len(a), np.uint64(0xFFFFFFFFFFFFFFFF))
