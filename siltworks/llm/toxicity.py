@@ -180,27 +180,28 @@ def _features(text: str, stem_lengths: tuple[int, ...]) -> set[str]:
 def learn(docs: DataFrame, labelled: DataFrame, most_labelled: int, stem_lengths: tuple[int, ...], least_docs: int, least_share: float, least_odds: float, most_patterns: int, chance: float = 0.05) -> Grammar:
     """Learns the weights from at most most_labelled labelled documents (those of lowest hashed id).
 
-    labelled: doc_id, toxic. A pattern needs least_docs toxic documents, least_share of them, least_odds (natural
+    labelled: doc_id, toxic. Texts that are wholly equal count once, at the mean of their labels. A pattern needs least_docs toxic documents, least_share of them, least_odds (natural
     log-odds ratio), and a likelihood ratio that less than `chance` of all patterns would reach without any relation to
     the labels. Documents are counted by word and word beginning in Spark; what reaches the driver is
     most_patterns patterns, then a row of readings for each labelled document of the bounded sample.
     """
     chosen = labelled.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    # near copies of one text are no independent evidence: texts count once for each beginning and each end
-    sample = sample.withColumns({"_head": F.left("text", F.lit(48)), "_tail": F.right("text", F.lit(48))}).dropDuplicates(["_head"]).dropDuplicates(["_tail"]).select("text", "toxic").persist()
+    # copies of one whole text are no independent evidence: they count once, at the mean of all their labels
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.avg("toxic").alias("toxic")).persist()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = (Counter(), Counter())
+            n, pos = Counter(), Counter()
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                found[toxic].update(_features(text or "", stem_lengths))
-            names = [*(found[0].keys() | found[1].keys())]
-            yield pd.DataFrame({"name": names, "pos": [found[1][x] for x in names], "neg": [found[0][x] for x in names]})
-
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
+                own = _features(text or "", stem_lengths)
+                n.update(own)
+                if toxic:
+                    pos.update(dict.fromkeys(own, toxic))
+            names = [*n]
+            yield pd.DataFrame({"name": names, "pos": [float(pos[x]) for x in names], "neg": [float(n[x] - pos[x]) for x in names]})
+
+    n_pos, n_neg = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0.0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0.0))).first()
     if not n_pos or not n_neg:
         sample.unpersist()
         return Grammar(words=dict.fromkeys(INSULTS, SEED_WEIGHT))
@@ -208,7 +209,7 @@ def learn(docs: DataFrame, labelled: DataFrame, most_labelled: int, stem_lengths
     share = n_pos / (n_pos + n_neg)
     df = F.col("pos") + F.col("neg")
     surprise = F.col("pos") * F.log(F.col("pos") / (df * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (df * (1 - share)))).otherwise(F.lit(0.0))
-    counted = sample.mapInPandas(count, "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).persist()
+    counted = sample.mapInPandas(count, "name string, pos double, neg double").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).persist()
     patterns = max(1, counted.count())
     found = (
         counted.where(F.col("pos") >= max(least_docs, least_share * n_pos))
@@ -242,7 +243,7 @@ def learn(docs: DataFrame, labelled: DataFrame, most_labelled: int, stem_lengths
         for batch in batches:
             yield pd.DataFrame({"x": [matcher.readings(t).tolist() for t in batch["text"]], "y": batch["toxic"].to_numpy()})
 
-    rows = sample.mapInPandas(read, "x array<double>, y int").collect()
+    rows = sample.mapInPandas(read, "x array<double>, y double").collect()
     sample.unpersist()
     x = np.minimum(np.array([r["x"] for r in rows]) / grammar.most, 4.0)
     y = np.array([r["y"] for r in rows], float)

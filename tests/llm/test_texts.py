@@ -124,6 +124,22 @@ def test_toxicity_learns_words_and_stems_held_out(spark):
     assert toxicity.toxicity(spark, frame(spark, docs), learned.limit(0)).count() == len(docs)
 
 
+def test_toxicity_learns_from_texts_with_equal_openings_and_endings(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ter", "son"]) for _ in range(3))
+    head, tail = "a common header of all texts " * 3, " a common footer of all texts" * 3
+    docs, labels = [], []
+    for i in range(300):
+        text = [word() for _ in range(20)]
+        if i % 5 == 0:
+            text[rng.randrange(20)] = "blark"
+        docs.append((i, head + " ".join(text) + tail, None, None, None))
+        labels.append((i, int(i % 5 == 0)))
+    labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(spark, frame(spark, docs), labelled).collect()}
+    assert got == dict(labels)
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_language_model(spark, extra):
     docs = [d for d in documents(5) if d[0] is not None]
