@@ -177,13 +177,15 @@ def _features(text: str, stem_lengths: tuple[int, ...]) -> set[str]:
     return {f"w:{w}" for w in words} | {f"s:{w[:n]}" for w in words for n in stem_lengths if len(w) > n}
 
 
-def learn(docs: DataFrame, labelled: DataFrame, most_labelled: int, stem_lengths: tuple[int, ...], least_docs: int, least_share: float, least_odds: float, most_patterns: int, chance: float = 0.05) -> Grammar:
+def learn(docs: DataFrame, labelled: DataFrame, most_labelled: int, stem_lengths: tuple[int, ...], least_docs: int, most_patterns: int, least_weight: float) -> Grammar:
     """Learns the weights from at most most_labelled labelled documents (those of lowest hashed id).
 
-    labelled: doc_id, toxic. Texts that are wholly equal count once, at the mean of their labels. A pattern needs least_docs toxic documents, least_share of them, least_odds (natural
-    log-odds ratio), and a likelihood ratio that less than `chance` of all patterns would reach without any relation to
-    the labels. Documents are counted by word and word beginning in Spark; what reaches the driver is
-    most_patterns patterns, then a row of readings for each labelled document of the bounded sample.
+    labelled: doc_id, toxic. Texts that are wholly equal count once, at the mean of their labels. A pattern of at least
+    least_docs toxic documents weighs its log-odds ratio, smoothed by its counts and times the probability that it is
+    related to the labels at all (see _weights), so that little evidence makes a small weight; weights of less than
+    least_weight, which would not move a score by a tenth, are left out. Documents are counted by word and word
+    beginning in Spark; what reaches the driver is a histogram of the counts, most_patterns patterns, then a row of
+    readings for each labelled document of the bounded sample.
     """
     chosen = labelled.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
@@ -205,17 +207,20 @@ def learn(docs: DataFrame, labelled: DataFrame, most_labelled: int, stem_lengths
     if not n_pos or not n_neg:
         sample.unpersist()
         return Grammar(words=dict.fromkeys(INSULTS, SEED_WEIGHT))
-    odds = F.log((F.col("pos") + 0.1) / (n_pos + 0.2)) - F.log((F.col("neg") + 0.1) / (n_neg + 0.2))
     share = n_pos / (n_pos + n_neg)
-    df = F.col("pos") + F.col("neg")
-    surprise = F.col("pos") * F.log(F.col("pos") / (df * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (df * (1 - share)))).otherwise(F.lit(0.0))
     counted = sample.mapInPandas(count, "name string, pos double, neg double").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).persist()
-    patterns = max(1, counted.count())
+    histogram = counted.groupBy(F.round("pos").alias("pos"), F.round("neg").alias("neg")).agg(F.count("*").alias("n")).collect()
+    related = _related(*(np.array([r[c] for r in histogram], float) for c in ("pos", "neg", "n")), share)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(weight=_weights(batch["pos"].to_numpy(), batch["neg"].to_numpy(), share, related))
+
     found = (
-        counted.where(F.col("pos") >= max(least_docs, least_share * n_pos))
-        .withColumn("odds", odds)
-        .where((F.col("odds") >= least_odds) & (surprise >= math.log(patterns / chance)))
-        .orderBy(F.desc("pos"), F.desc("odds"), F.length("name"), "name")
+        counted.where((F.col("pos") >= least_docs) & (F.col("pos") * n_neg > F.col("neg") * n_pos))
+        .mapInPandas(weigh, "name string, pos double, neg double, weight double")
+        .where(F.col("weight") >= least_weight)
+        .orderBy(F.desc(F.col("pos") * F.col("weight")), F.length("name"), "name")
         .limit(most_patterns)
         .collect()
     )
@@ -224,14 +229,14 @@ def learn(docs: DataFrame, labelled: DataFrame, most_labelled: int, stem_lengths
     words, stems = {}, {}
     best_stems = {r["name"][2:]: r for r in found if r["name"].startswith("s:")}
     for name, r in best_stems.items():
-        # the shortest beginning that loses no odds stands for the longer ones
-        if not any(name[:k] in best_stems and best_stems[name[:k]]["odds"] >= r["odds"] - 0.5 for k in range(2, len(name))):
-            stems[name] = float(min(6.0, r["odds"]))
+        # the shortest beginning that loses no weight stands for the longer ones
+        if not any(name[:k] in best_stems and best_stems[name[:k]]["weight"] >= r["weight"] - 0.5 for k in range(2, len(name))):
+            stems[name] = r["weight"]
     for r in found:
         if r["name"].startswith("w:"):
             w = r["name"][2:]
-            if not any(w[:k] in stems for k in range(2, len(w))):
-                words[w] = float(min(6.0, r["odds"]))
+            if not any(stems.get(w[:k], 0.0) >= r["weight"] - 0.5 for k in range(2, len(w))):
+                words[w] = r["weight"]
     for w in INSULTS:
         # a seed counts unless the labels speak against it
         if w not in words and not any(w[:k] in stems for k in range(2, len(w) + 1)) and (w not in seeded or seeded[w]["pos"] * n_neg > 3 * seeded[w]["neg"] * n_pos):
@@ -252,6 +257,31 @@ def learn(docs: DataFrame, labelled: DataFrame, most_labelled: int, stem_lengths
     return Grammar(words, stems, tuple(float(max(0.0, w)) for w in weights[:-1]), float(min(-0.5, weights[-1])))
 
 
+def _evidence(pos: np.ndarray, neg: np.ndarray, share: float) -> np.ndarray:
+    """Log of the odds between a toxic pattern (its share of toxic documents is Beta(9, 1)) and one without relation."""
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    return gamma(pos + 9) + gamma(neg + 1) - gamma(pos + neg + 10) + math.log(9) - pos * math.log(share) - neg * math.log1p(-share)
+
+
+def _related(pos: np.ndarray, neg: np.ndarray, n: np.ndarray, share: float) -> float:
+    """The share of patterns that are toxic, by expectation and maximization over the histogram of their counts."""
+    evidence, related = _evidence(pos, neg, share), 1e-3
+    for _ in range(200):
+        likely = 1 / (1 + np.exp(np.clip(math.log(1 / related - 1) - evidence, -700, 700)))
+        following = (float((n * likely).sum()) + 1) / (float(n.sum()) + 2)
+        if abs(following - related) < 1e-9:
+            break
+        related = following
+    return related
+
+
+def _weights(pos: np.ndarray, neg: np.ndarray, share: float, related: float, smooth: float = 4.0) -> np.ndarray:
+    """Count-smoothed log-odds (at most 6) times the probability of being related to the labels."""
+    likely = 1 / (1 + np.exp(np.clip(math.log(1 / related - 1) - _evidence(pos, neg, share), -700, 700)))
+    p = (pos + smooth * share) / (pos + neg + smooth)
+    return likely * np.minimum(6.0, np.log(p / (1 - p)) - math.log(share / (1 - share)))
+
+
 def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0, steps: int = 60) -> np.ndarray:
     """Logistic regression drawn towards the prior weights (Newton steps, halved until the loss falls)."""
 
@@ -281,9 +311,8 @@ def toxicity(
     most_labelled: int = 20_000,
     stem_lengths: tuple[int, ...] = (4, 5, 6, 7),
     least_docs: int = 3,
-    least_share: float = 0.01,
-    least_odds: float = 4.5,
     most_patterns: int = 4_096,
+    least_weight: float = 0.1,
 ) -> DataFrame:
     """Scores every whole text from 0 to 1; predicted is 1 from 0.5.
 
@@ -295,7 +324,7 @@ def toxicity(
     ship(spark)
     keep = [c for c in (keep or ["doc_id"]) if c not in ("score", "predicted")]
     text = "text" if "text" in keep else "_text"
-    grammar = learn(docs, labelled.select("doc_id", "toxic"), most_labelled, stem_lengths, least_docs, least_share, least_odds, most_patterns)
+    grammar = learn(docs, labelled.select("doc_id", "toxic"), most_labelled, stem_lengths, least_docs, most_patterns, least_weight)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(grammar)

@@ -140,6 +140,22 @@ def test_toxicity_learns_from_texts_with_equal_openings_and_endings(spark):
     assert got == dict(labels)
 
 
+def test_toxicity_learns_an_insult_of_few_documents(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ter", "son"]) for _ in range(3))
+    docs, labels = [], []
+    for i in range(4000):
+        text = [word() for _ in range(15)]
+        if i < 450:
+            text[rng.randrange(15)] = "zworf" if i < 4 else "blark"
+        docs.append((i, " ".join(text), None, None, None))
+        labels.append((i, int(i < 450)))
+    docs += [(9000, "kalo zworf miter. zworf kalo. you zworf", None, None, None), (9001, "kalo miter. kalo. you miter", None, None, None)]
+    got = {r["doc_id"]: r for r in toxicity.toxicity(spark, frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got[9000]["predicted"] == 1 and got[9001]["predicted"] == 0
+    assert sum(got[i]["predicted"] for i in range(450, 4000)) == 0
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_language_model(spark, extra):
     docs = [d for d in documents(5) if d[0] is not None]
