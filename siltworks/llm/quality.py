@@ -56,7 +56,8 @@ WHITE_BYTES = list(WHITE)
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters. least_words guards the rules, since histograms of short texts say little."""
+    """Parameters. least_words guards the rules, since histograms of short texts say little; a language with less than
+    least_reference_words has no reference, and the divergence rules reject none of its texts."""
 
     least_words: int = 50
     repeated_percent: int = 50
@@ -179,11 +180,12 @@ def references(docs: DataFrame, rules: Rules) -> dict[str, tuple[np.ndarray, dic
     return out
 
 
-def verdict(rules: Rules, refs: dict, words: list[bytes], hist: np.ndarray, n: int) -> tuple[bool, float, float]:
+def verdict(rules: Rules, refs: dict, lang: str, words: list[bytes], hist: np.ndarray, n: int) -> tuple[bool, float, float]:
     """Whether a text is near enough to some language, and its divergences from the nearest.
 
     The bounds grow for short texts by a guard / words: a histogram of few words is uneven by chance.
-    Without any reference every text is kept.
+    A text whose own language has no reference is kept: its distance to other languages says nothing against it.
+    Without any reference the divergences are 0.
     """
     if not refs:
         return True, 0.0, 0.0
@@ -200,7 +202,7 @@ def verdict(rules: Rules, refs: dict, words: list[bytes], hist: np.ndarray, n: i
         own[-1] = max(0, n - own.sum())
         b = divergence(own, weights)
         best = min(best, (max(a / most_class, b / most_word), a, b))
-    return best[0] <= 1.0, best[1], best[2]
+    return lang not in refs or best[0] <= 1.0, best[1], best[2]
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_jsd double, word_jsd double, kept boolean"
@@ -209,7 +211,8 @@ COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def quality_rules(spark: SparkSession, docs: DataFrame, rules: Rules | None = None, keep: list[str] | None = None) -> DataFrame:
     """Applies the counting rules and the divergence rules to every whole text.
 
-    docs: doc_id, text, lang (null language: counted as its own group). keep: input columns to return; by default
+    docs: doc_id, text, lang (null language: counted as its own group). Texts of a language with fewer than
+    least_reference_words passing words are kept if they pass the counting rules. keep: input columns to return; by default
     doc_id. Null and empty texts have no words and fail the counting rules. Repeated rows are judged one by one;
     an empty table gives no rows. Columns of docs that share a name with a result column are dropped.
     """
@@ -220,21 +223,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, rules: Rules | None = No
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     taken = [c for c in keep if c not in names]
     source = "text" if "text" in taken else "_text"
+    own = "lang" if "lang" in taken else "_lang"
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text in batch[source]:
+            for text, lang in zip(batch[source], batch[own], strict=True):
                 words, hist, base = counts(text)
                 failed = base_fails(rules, base[0], base[4])
-                kept, a, b = (False, None, None) if failed else verdict(rules, refs, words, hist, base[0])
+                kept, a, b = (False, None, None) if failed else verdict(rules, refs, lang if isinstance(lang, str) else "", words, hist, base[0])
                 rows.append((*base, failed, a, b, kept))
             out = batch[taken]
             made = pd.DataFrame(rows, columns=names, index=out.index)
             yield pd.concat([out, made.astype({"class_jsd": "float64", "word_jsd": "float64"})], axis=1)
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in taken), COLUMNS])
-    return docs.select(*taken, *([F.col("text").alias("_text")] if source == "_text" else [])).mapInPandas(judge, schema)
+    added = [F.col(c).alias(f"_{c}") for c, name in (("text", source), ("lang", own)) if name != c]
+    return docs.select(*taken, *added).mapInPandas(judge, schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

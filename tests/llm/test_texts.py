@@ -83,6 +83,17 @@ def test_quality_rules(spark, extra):
     assert quality.quality_rules(spark, frame(spark, [])).count() == 0
 
 
+def test_quality_keeps_languages_without_a_reference(spark):
+    rng = random.Random(5)
+    prose = lambda common, letters: " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice(letters) for _ in range(7)) for _ in range(200))
+    rows = [(i, prose(["the", "of", "and", "to", "in"], "aeionrst"), "en", None, None) for i in range(40)]
+    small = [(100 + i, prose(["и", "в", "не", "на"], "аеионрст"), "ru", None, None) for i in range(3)]
+    rows += [*small, (200, small[0][1], "en", None, None), (201, "и в " * 60, "ru", None, None), (202, small[0][1], None, None, None)]
+    for keep in (None, ["doc_id", "lang", "text"]):
+        got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark, frame(spark, rows), keep=keep).collect()}
+        assert got == {i: i not in (200, 201) for i, *_ in rows}
+
+
 def test_transducers():
     def read(text, **words):
         m = toxicity.Matcher(toxicity.Grammar(words=words or {"idiot": 6.0}))
