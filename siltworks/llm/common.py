@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
-MOST_BATCH_BYTES = 32 << 20
+MOST_BATCH_BYTES = 6 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own where the session names none."""
+    """The folder that the driver and all executors share. Where the session names none, a local session gets one of
+    its own, and any other one is refused: its executors would each write to their own disk."""
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="siltworks-")
         spark.conf.set(CHECKPOINT_KEY, named)
     return named.rstrip("/")
@@ -87,6 +92,20 @@ def ship(spark: SparkSession) -> None:
     context._siltworks_sent = True
 
 
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work on Arrow batches, after which a Python worker, which lives on, gives its free memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
 def slices(batches: Iterator, rows: int) -> Iterator:
     """Smaller Arrow batches, for work that makes Python objects of their rows."""
     for batch in batches:

@@ -2,12 +2,19 @@
 
 Documents with one shingle set are one class. Each class is posted under (coordinate, value) pairs of its signature:
 of all coordinates, ordered by how often their values occur, only the first coordinates - threshold + 1 (the prefix)
-are merged; two signatures that agree in `threshold` places must meet there. The frequent rest is skipped, and only
-looked at for pairs that met. Pairs with enough agreeing coordinates are confirmed on their full sets.
+are merged; two signatures that agree in `threshold` places must meet there. The frequent rest is skipped: a posting
+carries three bits of every coordinate, so that a meeting counts the places that can agree without looking at lists.
 
-A list of many classes is never turned into all its pairs: in each round its first class is compared with every
-other one (a star); what is then in one component needs no more comparisons. Pairs that are left after the stars, of
-different components, are compared in full, so no link between components is lost.
+Lists of few classes are joined with themselves. A longer list, the mark of a large group of near copies, is never
+turned into its pairs. It is compared with one class, its hub, on full sets, and what differs from the hub is kept:
+
+* Two classes near the hub differ by the symmetric difference of their own differences from it. If one of them is not
+  linked with the hub, a link needs more than half of the other's differences to be shared, so both meet under the
+  rarest of these (a prefix again). Two classes that are linked with the hub need no comparison.
+* Jaccard distance is a metric: a class near the hub has no link with one far from it. So classes far from the hub are
+  left for the next hub of the list, with some overlap, until the list is short.
+
+Pairs of short lists are confirmed on their full sets. No link between different sets is lost to a group's size.
 """
 
 from __future__ import annotations
@@ -19,40 +26,52 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Stage, components, ship, slices, table
+from .common import Stage, components, lean, ship, slices, table
 from .shingles import minhash_factors, mix, shingle_sets, signature
 
 BUCKETS = 1 << 20
 MOST_BROADCAST = 1_000_000
+PLANES = 3
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column(column).to_pylist()]
 
 
+def class_key(shingles: np.ndarray) -> int:
+    """64 bits that stand for a set (signed)."""
+    return int.from_bytes(xxhash.xxh3_128_digest(shingles.astype("<u8"))[:8], "little", signed=True)
+
+
 def signatures(docs: DataFrame, width: int, coordinates: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit key and its signature (null: no shingles)."""
+    """doc_id, text_hash, n_shingles, the set's key and its signature (null: no shingles)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = minhash_factors(coordinates, seed)
         for batch in slices(batches, 128):
-            sets = shingle_sets(_texts(batch, 1), width)
-            keys = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
+            sets = shingle_sets(_texts(batch, 2), width)
+            keys = [class_key(s) if len(s) else None for s in sets]
             signed = [signature(s, factors).astype("<u4").tobytes() if len(s) else None for s in sets]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "n_shingles", "key", "sig"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(signed, pa.binary())], ["doc_id", "text_hash", "n_shingles", "node", "sig"])
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return chosen.mapInArrow(lean(work), "doc_id long, text_hash long, n_shingles long, node long, sig binary")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_shingles long, key binary, sig binary")
 
+def _raw(sig: pa.Array, coordinates: int) -> np.ndarray:
+    return np.frombuffer(b"".join(sig.to_pylist()), "<u4").reshape(-1, coordinates)
 
-def _values(sig: pa.Array, coordinates: int) -> np.ndarray:
+
+def _values(raw: np.ndarray) -> np.ndarray:
     """(rows, coordinates) keys of coordinate-value pairs."""
-    raw = np.frombuffer(b"".join(sig.to_pylist()), "<u4").reshape(-1, coordinates).astype(np.uint64)
-    return mix(raw | (np.arange(coordinates, dtype=np.uint64) << np.uint64(32)))
+    return mix(raw.astype(np.uint64) | (np.arange(raw.shape[1], dtype=np.uint64) << np.uint64(32)))
 
 
 def postings(classes: DataFrame, coordinates: int, prefix: int) -> DataFrame:
-    """Rows (value, rep, size): each class under the `prefix` rarest of its coordinate values.
+    """Rows (value, node, size, p0, p1, p2): each class under the `prefix` rarest of its coordinate values, with the
+    lowest three bits of all its coordinates as bit planes.
 
     How often a value occurs is counted over all classes in 2^20 hashed counters; any order that is the same for
     all classes gives the same pairs, so counters that several values share only cost time.
@@ -60,69 +79,133 @@ def postings(classes: DataFrame, coordinates: int, prefix: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            total += np.bincount((_values(batch.column(0), coordinates).ravel() >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
+        for batch in slices(batches, 4_096):
+            total += np.bincount((_values(_raw(batch.column(0), coordinates)).ravel() >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
         seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["bucket", "n"])
+        for i in range(0, len(seen), 1 << 17):
+            part = seen[i : i + (1 << 17)]
+            yield pa.record_batch([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["bucket", "n"])
 
-    counted = classes.select("sig").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = classes.select("sig").mapInArrow(lean(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     mean = counted.agg(F.avg("n")).first()[0] or 0
-    heavy = counted.where(F.col("n") > 4 * mean + 16).toPandas()
+    heavy = counted.where(F.col("n") > 4 * mean + 16).toPandas()  # of 2^20 counters
     often = np.zeros(BUCKETS, np.int64)
     often[heavy["bucket"].to_numpy(np.int64)] = heavy["n"].to_numpy(np.int64)
     places, weights = np.flatnonzero(often).astype(np.int32), often[often > 0]
+    names = ["value", "node", "size", *(f"p{i}" for i in range(PLANES))]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = np.zeros(BUCKETS, np.int64)
         table_[places] = weights
-        for batch in batches:
-            values = _values(batch.column(1), coordinates)
+        place = np.uint64(1) << np.arange(coordinates, dtype=np.uint64)
+        for batch in slices(batches, 1_024):
+            raw = _raw(batch.column(1), coordinates)
+            values = _values(raw)
             order = np.lexsort((values, table_[(values >> np.uint64(44)).astype(np.int64)]), axis=1)[:, :prefix]
             own = np.take_along_axis(values, order, 1)
-            reps = np.repeat(batch.column(0).to_numpy(), prefix)
-            sizes = np.repeat(batch.column(2).to_numpy(), prefix)
-            yield pa.record_batch([pa.array(own.ravel().view(np.int64)), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64())], ["value", "rep", "size"])
-
-    return classes.select("rep", "sig", "n_shingles").mapInArrow(post, "value long, rep long, size long")
+            planes = [(((raw >> np.uint32(b)) & np.uint32(1)).astype(np.uint64) * place).sum(axis=1, dtype=np.uint64).view(np.int64) for b in range(PLANES)]
+            columns = [np.repeat(x, prefix) for x in (batch.column(0).to_numpy(), batch.column(2).to_numpy(), *planes)]
+            yield pa.record_batch([pa.array(own.ravel().view(np.int64)), *(pa.array(c, pa.int64()) for c in columns)], names)
 
+    return classes.select("node", "sig", "n_shingles").mapInArrow(lean(post), ", ".join(f"{c} long" for c in names))
 
-def confirm(spark: SparkSession, stage: Stage, docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in at least `threshold` places and whose full sets are similar."""
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(batch.num_rows, -1) for i in (2, 3))
-            keep = pa.array((left == right).sum(axis=1) >= threshold)
-            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+def full_sets(stage: Stage, docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the full sets of some classes, made again from the texts of their first documents."""
+    wanted = stage.write(classes.join(nodes, "node", "left_semi").select("rep").distinct(), "wanted")
 
-    sig_a = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    sig_b = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    near = pairs.join(sig_a, "a").join(sig_b, "b")
-    near = stage.write(near.select("a", "b", "sig_a", "sig_b").mapInArrow(agree, "a long, b long").distinct(), "near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = stage.write(wanted, "wanted")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            yield pa.record_batch([batch.column(0), pa.array([s.astype("<u8").tobytes() for s in shingle_sets(_texts(batch, 1), width)], pa.binary())], ["doc_id", "shingles"])
+            sets = [s for s in shingle_sets(_texts(batch, 0), width) if len(s)]
+            own = [np.sort(s.view(np.int64)) for s in sets]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
+            yield pa.record_batch([pa.array([class_key(s) for s in sets], pa.int64()), lists], ["node", "shingles"])
 
     # the list of ids is sent to all only while it is known to be short
     side = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
-    full = stage.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"), "sets", "lz4")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(side, "rep", "left_semi").select("text")
+    # one id may have several texts: only the classes asked for stay, each once
+    made = chosen.mapInArrow(lean(work), "node long, shingles array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    made = stage.write(made, "sets", "lz4")
+    stage.drop(wanted)
+    return made
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+def _linked(difference: Column, sizes: Column, percent: int) -> Column:
+    """J >= percent / 100, of sets that differ in so many members and have so many members together."""
+    return difference * (100 + percent) <= sizes * (100 - percent)
+
+
+def _deltas(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(hub, node, n, m, d, far, delta): sizes, how many members differ from the hub, whether the class has to meet the
+    list's next hub, and the members that differ (sorted) if it is near enough to be compared by them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            own = [[np.frombuffer(x.values.buffers()[1], np.int64, len(x.values), x.values.offset * 8) for x in batch.column(i)] for i in (2, 3)]
+            rows = []
+            for x, h in zip(*own, strict=True):
+                d = np.setxor1d(x, h, assume_unique=True)
+                both = len(x) + len(h)
+                # Jaccard distance 2 d / (both + d): near up to three radii, handed on beyond two
+                distance = 200 * len(d)
+                near, far = distance <= 3 * (100 - percent) * (both + len(d)), distance > 2 * (100 - percent) * (both + len(d))
+                rows.append((len(x), len(h), len(d), far, d if near else None))
+            n, m, d, far, delta = zip(*rows, strict=True)
+            columns = [pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(d, pa.int64()), pa.array(far, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns], ["hub", "node", "n", "m", "d", "far", "delta"])
+
+    mine = sets.select("node", F.col("shingles").alias("x"))
+    hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("h"))
+    joined = star.join(mine, "node").join(hubs, "hub").select("hub", "node", "x", "h")
+    return joined.mapInArrow(lean(work), "hub long, node long, n long, m long, d long, far boolean, delta array<long>")
+
+
+def _by_differences(stage: Stage, deltas: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of classes near a hub, at least one of them not linked with it, by their differences from it."""
+    near = deltas.where("delta IS NOT NULL AND d > 0").withColumn("open", ~_linked(F.col("d"), F.col("n") + F.col("m"), percent))
+    # only hubs with an unlinked class need any comparison
+    hubs = near.where("open").select("hub").distinct()
+    near = near.join(hubs, "hub", "left_semi")
+    places = stage.write(near.select("hub", "node", "n", "m", "d", "open", F.explode("delta").alias("member")), "differences")
+    counted = places.groupBy("hub", "member").agg(F.count("*").alias("often"))
+    inside = Window.partitionBy("hub", "node").orderBy("often", "member")
+    # a link with an open class needs more than (d + q (m - n)) / 2 shared differences, q = (100 - p) / (100 + p)
+    half = (F.col("d") * (100 + percent) + (F.col("m") - F.col("n")) * (100 - percent)) / (2 * (100 + percent))
+    homes = places.join(counted.where("often > 1"), ["hub", "member"]).withColumn("_rank", F.row_number().over(inside))
+    # members that only one class has come first in the order, and are met by none
+    alone = places.join(counted.where("often = 1"), ["hub", "member"]).groupBy("hub", "node").agg(F.count("*").alias("single"))
+    homes = homes.join(alone, ["hub", "node"], "left").where(F.col("_rank") + F.coalesce("single", F.lit(0)) <= F.col("d") - F.floor(half))
+    left = places.where("open").select("hub", "member", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"))
+    right = homes.select("hub", "member", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("open").alias("oy"))
+    fits = _linked(F.abs(F.col("dx") - F.col("dy")), F.col("nx") + F.col("ny"), percent)
+    met = left.join(right, ["hub", "member"]).where((F.col("x") != F.col("y")) & fits).select("hub", "x", "y", "nx", "ny", "dx", "dy").distinct()
+    own = near.select("hub", "node", "delta")
+    both = met.join(own.select("hub", F.col("node").alias("x"), F.col("delta").alias("ex")), ["hub", "x"]).join(own.select("hub", F.col("node").alias("y"), F.col("delta").alias("ey")), ["hub", "y"])
+    differ = F.col("dx") + F.col("dy") - 2 * F.size(F.array_intersect("ex", "ey"))
+    found = both.where(_linked(differ, F.col("nx") + F.col("ny"), percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    found = stage.write(found.distinct(), "found")
+    stage.drop(places)
+    return found
+
+
+def _confirmed(stage: Stage, docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
+    sets = full_sets(stage, docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                s, t = (np.frombuffer(v.values.buffers()[1], np.int64, len(v.values), v.values.offset * 8) for v in (x, y))
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(bool(both) and 100 * both >= percent * (len(s) + len(t) - both))
+                keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s"))
-    right = full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
-    linked = stage.write(near.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(similar, "a long, b long"), "links")
-    stage.drop(near, wanted, full)
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
+    linked = stage.write(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(lean(work), "a long, b long"), "links")
+    stage.drop(sets)
     return linked
 
 
@@ -131,72 +214,82 @@ def near_duplicates(
     docs: DataFrame,
     width: int = 5,
     percent: int = 80,
-    coordinates: int = 48,
-    threshold: int = 24,
-    stars: int = 3,
+    coordinates: int = 64,
+    threshold: int = 34,
+    short: int = 16,
     seed: int = 1,
 ) -> DataFrame:
-    """Groups of near-duplicate documents: doc_id, n_shingles, component_id and kept, a row for each row of docs.
+    """Groups of near-duplicates: doc_id, text_hash, n_shingles, component_id and kept, a row for each row of docs.
 
-    docs: doc_id, text. Linked are documents with 100 * intersection >= percent * union of their sets of `width`-word
+    docs: doc_id, text. Linked are rows with 100 * intersection >= percent * union of their sets of `width`-word
     shingles (ASCII letters lower-cased; a text of fewer words is one shingle). Null, empty and blank texts have no
-    shingles and are linked with nothing. Rows of one doc_id are one document. Rows without a doc_id are kept as
-    they are, without a component. A pair just at 80 percent agrees in fewer than 24 of 48 coordinates with a
-    probability below 1e-6, which is the only way to miss a link. An empty table gives no rows.
+    shingles and are linked with nothing. Rows of one doc_id with different texts are linked one by one, each by its own
+    text; a row is kept if its doc_id is the least of its component. Rows without a doc_id are kept as they are, without
+    a component, and link nothing. text_hash (xxhash64 of the text) tells rows of one doc_id apart. An empty table gives
+    no rows. A pair just at 80 percent agrees in fewer than 34 of 64 coordinates with a probability below 1e-6, which is
+    the only way to miss a link. short: lists of at most so many classes are joined with themselves, longer ones by
+    hubs; it changes the cost only.
     """
     ship(spark)
     stage = Stage(spark, "minhash")
     rows = stage.write(signatures(docs, width, coordinates, seed), "rows")
-    classes = rows.where("doc_id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = rows.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = stage.write(classes, "classes")
-    posted = stage.write(postings(classes, coordinates, coordinates - threshold + 1), "postings")
-    lists = posted.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("rep", "size")).alias("hub")).where("n > 1").select("value", "hub")
+    # n shingles and n + 1 are the nearest that two different sets can be: smaller ones have no links but copies
+    least = percent // (100 - percent) if percent < 100 else 1 << 62
+    posted = stage.write(postings(classes.where(F.col("n_shingles") >= least), coordinates, coordinates - threshold + 1), "postings")
+    lists = posted.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
     members = stage.write(posted.join(lists, "value"), "members")
     stage.drop(posted)
-
-    def fits(x: Column, y: Column) -> Column:
-        """Sets whose sizes allow the similarity."""
-        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-    links = stage.write(members.limit(0).select(F.col("rep").alias("a"), F.col("rep").alias("b")), "links")
-    groups = None
-    for turn in range(stars + 1):
-        if turn == stars:
-            left = members.select("value", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"))
-            right = members.select("value", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"))
-            met = left.join(right, "value").where("a < b AND ca <> cb").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
-        else:
-            apart = F.col("rep") != F.col("hub.rep")
-            if turn:
-                apart = apart & (F.col("component") != F.col("hub.component"))
-            met = members.where(apart & fits(F.col("size"), F.col("hub.size"))).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
-        found = confirm(spark, stage, docs, classes, met.distinct(), width, threshold=threshold, percent=percent)
-        following = stage.write(links.union(found), "links")
-        fresh = found.limit(1).count() > 0
-        stage.drop(links, found)
-        links = following
-        if fresh or groups is None:
-            groups = stage.write(components(spark, stage, links), "components")
-        if turn == stars:
-            break
-        # what was a list's hub has met all others; the next one is picked by a hash, another one for each list
-        named = groups.withColumnRenamed("node", "rep")
-        rest = members.where(F.col("rep") != F.col("hub.rep")).select("value", "rep", "size").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        rest = stage.write(rest, "rest")
-        pick = F.min(F.struct(F.xxhash64("value", "rep", F.lit(turn)).alias("order"), "rep", "size", "component")).alias("hub")
-        open_ = rest.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), pick).where("low <> high")
-        following = stage.write(rest.join(open_.select("value", "hub"), "value"), "members")
-        stage.drop(members, rest)
-        members = following
-        if members.limit(1).count() == 0:
-            break
-    class_of = classes.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    known = rows.where("key IS NOT NULL").join(class_of, "key", "left")
-    alone = rows.where("key IS NULL").withColumn("component_id", F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    out = known.unionByName(alone, allowMissingColumns=True).withColumn("component_id", component)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    narrow = members.where(F.col("length") <= short).drop("length")
+    long = stage.write(members.where(F.col("length") > short).select("value", "node"), "long")
+    planes = members.where(F.col("length") > short).select("node", "size", *(f"p{i}" for i in range(PLANES))).distinct()
+    links = []
+    if long.limit(1).count():
+        sets = full_sets(stage, docs, classes, long.select("node").distinct(), width)
+        leftover = []
+        while long.limit(1).count():
+            # the class in the largest lists is the middle of its group, and so the hub of most of its lists
+            heat = long.join(long.groupBy("value").agg(F.count("*").alias("n")), "value").groupBy("node").agg(F.sum("n").alias("heat"))
+            hubs = long.join(heat, "node").groupBy("value").agg(F.max(F.struct("heat", "node"))["node"].alias("hub"))
+            around = stage.write(long.join(hubs, "value").where("node <> hub"), "around")
+            deltas = stage.write(_deltas(around.select("hub", "node").distinct(), sets, percent), "deltas", "lz4")
+            starred = deltas.where(_linked(F.col("d"), F.col("n") + F.col("m"), percent)).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+            links += [stage.write(starred, "starred"), _by_differences(stage, deltas, percent)]
+            rest = stage.write(around.join(deltas.where("far").select("hub", "node"), ["hub", "node"], "left_semi").select("value", "node"), "rest")
+            lengths = rest.groupBy("value").agg(F.count("*").alias("length"))
+            leftover.append(stage.write(rest.join(lengths.where((F.col("length") > 1) & (F.col("length") <= short)), "value").select("value", "node"), "leftover"))
+            following = stage.write(rest.join(lengths.where(F.col("length") > short), "value").select("value", "node"), "long")
+            stage.drop(long, around, deltas, rest)
+            long = following
+        stage.drop(sets)
+        for part in leftover:
+            narrow = narrow.unionByName(part.join(planes, "node"))
+
+    # pairs of short lists whose sizes allow the similarity, and whose coordinates can agree in `threshold` places
+    left, right = (narrow.select("value", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "size", *(f"p{i}" for i in range(PLANES))))) for side in "ab")
+    differ = F.lit(0).cast("long")
+    for i in range(PLANES):
+        differ = differ.bitwiseOR(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b")))
+    fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    met = left.join(right, "value").where(F.col("node_a") < F.col("node_b")).where(fits & (F.bit_count(differ) <= coordinates - threshold))
+    pairs = stage.write(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
+    links.append(_confirmed(stage, docs, classes, pairs, width, percent))
+    stage.drop(members, pairs)
+    edges = links[0]
+    for part in links[1:]:
+        edges = edges.unionByName(part)
+    groups = stage.write(components(spark, stage, edges), "components")
+    stage.drop(*links)
+    grouped = classes.select("node", "rep").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least_of = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+    class_of = grouped.join(least_of, "component").select("node", "component_id")
+    known = rows.where("node IS NOT NULL AND doc_id IS NOT NULL").join(class_of, "node")
+    alone = rows.where("node IS NULL OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", "text_hash", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")]
+    return known.select(*columns).unionByName(alone.select(*columns))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"), width=2)
+    """Near-duplicates of all documents at two-word shingles; the edge cases are those of near_duplicates."""
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), width=2).drop("text_hash")
