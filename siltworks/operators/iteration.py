@@ -10,8 +10,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as checkpointed in the folder that the session names (a temporary one where it names none)."""
+    """The rows as checkpointed in the folder that the session names. Where it names none, a local session gets a
+    temporary one, and any other one is refused: its executors would each write to their own disk."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get(CHECKPOINT_KEY, None) or "file://" + tempfile.mkdtemp(prefix="siltworks-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get(CHECKPOINT_KEY, None)
+        if named is None and context.master.split("[")[0] != "local":
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="siltworks-"))
     return df.checkpoint()
