@@ -5,16 +5,12 @@ of all coordinates, ordered by how often their values occur, only the first coor
 are merged; two signatures that agree in `threshold` places must meet there. The frequent rest is skipped: a posting
 carries three bits of every coordinate, so that a meeting counts the places that can agree without looking at lists.
 
-Lists of few classes are joined with themselves. A longer list, the mark of a large group of near copies, is never
-turned into its pairs. It is compared with one class, its hub, on full sets, and what differs from the hub is kept:
-
-* Two classes near the hub differ by the symmetric difference of their own differences from it. If one of them is not
-  linked with the hub, a link needs more than half of the other's differences to be shared, so both meet under the
-  rarest of these (a prefix again). Two classes that are linked with the hub need no comparison.
-* Jaccard distance is a metric: a class near the hub has no link with one far from it. So classes far from the hub are
-  left for the next hub of the list, with some overlap, until the list is short.
-
-Pairs of short lists are confirmed on their full sets. No link between different sets is lost to a group's size.
+A large group of near copies is never turned into its pairs. Classes that share a band of coordinates with many others
+are compared with one of these, their hub, on full sets; a class near a hub belongs to its group, and what differs from
+the hub is kept. Two classes of a group differ by the symmetric difference of their own differences from the hub. If one
+of them is not linked with the hub, a link needs more than half of the other's differences to be shared, so both meet
+under the rarest of these (a prefix again); two classes that are linked with the hub need no comparison. All other
+pairs that meet in a list are confirmed on their full sets. No link is lost to a group's size.
 """
 
 from __future__ import annotations
@@ -110,6 +106,18 @@ def postings(classes: DataFrame, coordinates: int, prefix: int) -> DataFrame:
     return classes.select("node", "sig", "n_shingles").mapInArrow(lean(post), ", ".join(f"{c} long" for c in names))
 
 
+def bands(classes: DataFrame, coordinates: int, width: int) -> DataFrame:
+    """Rows (value, node): each class under every band of `width` neighbouring coordinates."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1_024):
+            own = _values(_raw(batch.column(1), coordinates)).reshape(batch.num_rows, coordinates // width, width)
+            keys = mix((own * (np.arange(width, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(axis=2, dtype=np.uint64))
+            yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]), pa.int64())], ["value", "node"])
+
+    return classes.select("node", "sig").mapInArrow(lean(work), "value long, node long")
+
+
 def full_sets(stage: Stage, docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, shingles): the full sets of some classes, made again from the texts of their first documents."""
     wanted = stage.write(classes.join(nodes, "node", "left_semi").select("rep").distinct(), "wanted")
@@ -136,34 +144,43 @@ def _linked(difference: Column, sizes: Column, percent: int) -> Column:
     return difference * (100 + percent) <= sizes * (100 - percent)
 
 
+def _differing(first: str, second: str) -> Column:
+    """How many coordinates differ for sure, by the bit planes of two classes (of the expected 7/8 of those that do)."""
+    differ = F.lit(0).cast("long")
+    for i in range(PLANES):
+        differ = differ.bitwiseOR(F.col(f"p{i}{first}").bitwiseXOR(F.col(f"p{i}{second}")))
+    return F.bit_count(differ)
+
+
 def _deltas(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(hub, node, n, m, d, far, delta): sizes, how many members differ from the hub, whether the class has to meet the
-    list's next hub, and the members that differ (sorted) if it is near enough to be compared by them."""
+    """(hub, node, heat, n, m, d, delta): sizes, how many members differ from the hub, and these (sorted), for classes
+    that are within three radii of the hub."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            own = [[np.frombuffer(x.values.buffers()[1], np.int64, len(x.values), x.values.offset * 8) for x in batch.column(i)] for i in (2, 3)]
+            own = [[np.frombuffer(x.values.buffers()[1], np.int64, len(x.values), x.values.offset * 8) for x in batch.column(i)] for i in (3, 4)]
             rows = []
-            for x, h in zip(*own, strict=True):
+            for at, (x, h) in enumerate(zip(*own, strict=True)):
                 d = np.setxor1d(x, h, assume_unique=True)
                 both = len(x) + len(h)
-                # Jaccard distance 2 d / (both + d): near up to three radii, handed on beyond two
-                distance = 200 * len(d)
-                near, far = distance <= 3 * (100 - percent) * (both + len(d)), distance > 2 * (100 - percent) * (both + len(d))
-                rows.append((len(x), len(h), len(d), far, d if near else None))
-            n, m, d, far, delta = zip(*rows, strict=True)
-            columns = [pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(d, pa.int64()), pa.array(far, pa.bool_()), pa.array(delta, pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column(0), batch.column(1), *columns], ["hub", "node", "n", "m", "d", "far", "delta"])
+                if 200 * len(d) <= 3 * (100 - percent) * (both + len(d)):  # Jaccard distance: 2 d / (both + d)
+                    rows.append((at, len(x), len(h), len(d), d))
+            if not rows:
+                continue
+            at, n, m, d, delta = zip(*rows, strict=True)
+            kept = batch.take(pa.array(at, pa.int64()))
+            columns = [pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(d, pa.int64()), pa.array(delta, pa.list_(pa.int64()))]
+            yield pa.record_batch([*kept.columns[:3], *columns], ["hub", "node", "heat", "n", "m", "d", "delta"])
 
     mine = sets.select("node", F.col("shingles").alias("x"))
     hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("h"))
-    joined = star.join(mine, "node").join(hubs, "hub").select("hub", "node", "x", "h")
-    return joined.mapInArrow(lean(work), "hub long, node long, n long, m long, d long, far boolean, delta array<long>")
+    joined = star.join(mine, "node").join(hubs, "hub").select("hub", "node", "heat", "x", "h")
+    return joined.mapInArrow(lean(work), "hub long, node long, heat long, n long, m long, d long, delta array<long>")
 
 
 def _by_differences(stage: Stage, deltas: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of classes near a hub, at least one of them not linked with it, by their differences from it."""
-    near = deltas.where("delta IS NOT NULL AND d > 0").withColumn("open", ~_linked(F.col("d"), F.col("n") + F.col("m"), percent))
+    near = deltas.where("d > 0").withColumn("open", ~_linked(F.col("d"), F.col("n") + F.col("m"), percent))
     # only hubs with an unlinked class need any comparison
     hubs = near.where("open").select("hub").distinct()
     near = near.join(hubs, "hub", "left_semi")
@@ -209,6 +226,35 @@ def _confirmed(stage: Stage, docs: DataFrame, classes: DataFrame, pairs: DataFra
     return linked
 
 
+def hub_groups(spark: SparkSession, stage: Stage, docs: DataFrame, classes: DataFrame, planes: DataFrame, width: int, percent: int, coordinates: int, band: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(node, hub) of the classes in groups, and all links found with hubs and inside groups.
+
+    planes: node, size, p0, p1, p2. Lists of bands of more than `most` classes choose as their hub the class in the
+    largest lists, the middle of its group; a class near several hubs belongs to the one in the largest lists.
+    """
+    chosen = classes.join(planes.select("node"), "node", "left_semi")
+    banded = stage.write(bands(chosen, coordinates, band), "bands")
+    long = stage.write(banded.join(banded.groupBy("value").agg(F.count("*").alias("length")).where(F.col("length") > most), "value"), "long")
+    stage.drop(banded)
+    heat = long.groupBy("node").agg(F.sum("length").alias("heat"))
+    hubs = long.join(heat, "node").groupBy("value").agg(F.max(F.struct("heat", "node")).alias("hub")).select("value", F.col("hub.node").alias("hub"), F.col("hub.heat").alias("heat"))
+    star = long.join(hubs, "value").where("node <> hub").groupBy("hub", "node").agg(F.max("heat").alias("heat"))
+    near = star.join(planes, "node").join(planes.select(*(F.col(c).alias(f"{c}_h") for c in planes.columns)).withColumnRenamed("node_h", "hub"), "hub")
+    # a class beyond three radii by far is no member; this is no decision about links, only about who is in the group
+    star = stage.write(near.where(_differing("", "_h") <= coordinates * 5 // 8).select("hub", "node", "heat"), "star")
+    stage.drop(long)
+    sets = full_sets(stage, docs, classes, star.select(F.explode(F.array("hub", "node")).alias("node")).distinct(), width)
+    deltas = stage.write(_deltas(star, sets, percent), "deltas", "lz4")
+    stage.drop(sets)
+    starred = deltas.where(_linked(F.col("d"), F.col("n") + F.col("m"), percent)).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    own = star.select("hub", F.col("hub").alias("node"), "heat")
+    home = deltas.select("hub", "node", "heat").union(own).groupBy("node").agg(F.max(F.struct("heat", "hub"))["hub"].alias("hub"))
+    home = stage.write(home, "home")
+    links = [stage.write(starred.distinct(), "starred"), _by_differences(stage, deltas.join(home, ["node", "hub"], "left_semi"), percent)]
+    stage.drop(star, deltas)
+    return home, links
+
+
 def near_duplicates(
     spark: SparkSession,
     docs: DataFrame,
@@ -216,7 +262,8 @@ def near_duplicates(
     percent: int = 80,
     coordinates: int = 64,
     threshold: int = 34,
-    short: int = 16,
+    band: int = 4,
+    most: int = 16,
     seed: int = 1,
 ) -> DataFrame:
     """Groups of near-duplicates: doc_id, text_hash, n_shingles, component_id and kept, a row for each row of docs.
@@ -227,8 +274,8 @@ def near_duplicates(
     text; a row is kept if its doc_id is the least of its component. Rows without a doc_id are kept as they are, without
     a component, and link nothing. text_hash (xxhash64 of the text) tells rows of one doc_id apart. An empty table gives
     no rows. A pair just at 80 percent agrees in fewer than 34 of 64 coordinates with a probability below 1e-6, which is
-    the only way to miss a link. short: lists of at most so many classes are joined with themselves, longer ones by
-    hubs; it changes the cost only.
+    the only way to miss a link. band and most: classes that share `band` neighbouring coordinates with more than `most`
+    others are grouped by hubs; this changes the cost only.
     """
     ship(spark)
     stage = Stage(spark, "minhash")
@@ -238,41 +285,17 @@ def near_duplicates(
     # n shingles and n + 1 are the nearest that two different sets can be: smaller ones have no links but copies
     least = percent // (100 - percent) if percent < 100 else 1 << 62
     posted = stage.write(postings(classes.where(F.col("n_shingles") >= least), coordinates, coordinates - threshold + 1), "postings")
-    lists = posted.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
-    members = stage.write(posted.join(lists, "value"), "members")
+    planes = ["node", "size", *(f"p{i}" for i in range(PLANES))]
+    members = stage.write(posted.join(posted.groupBy("value").agg(F.count("*").alias("length")).where("length > 1").select("value"), "value"), "members")
     stage.drop(posted)
-    narrow = members.where(F.col("length") <= short).drop("length")
-    long = stage.write(members.where(F.col("length") > short).select("value", "node"), "long")
-    planes = members.where(F.col("length") > short).select("node", "size", *(f"p{i}" for i in range(PLANES))).distinct()
-    links = []
-    if long.limit(1).count():
-        sets = full_sets(stage, docs, classes, long.select("node").distinct(), width)
-        leftover = []
-        while long.limit(1).count():
-            # the class in the largest lists is the middle of its group, and so the hub of most of its lists
-            heat = long.join(long.groupBy("value").agg(F.count("*").alias("n")), "value").groupBy("node").agg(F.sum("n").alias("heat"))
-            hubs = long.join(heat, "node").groupBy("value").agg(F.max(F.struct("heat", "node"))["node"].alias("hub"))
-            around = stage.write(long.join(hubs, "value").where("node <> hub"), "around")
-            deltas = stage.write(_deltas(around.select("hub", "node").distinct(), sets, percent), "deltas", "lz4")
-            starred = deltas.where(_linked(F.col("d"), F.col("n") + F.col("m"), percent)).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-            links += [stage.write(starred, "starred"), _by_differences(stage, deltas, percent)]
-            rest = stage.write(around.join(deltas.where("far").select("hub", "node"), ["hub", "node"], "left_semi").select("value", "node"), "rest")
-            lengths = rest.groupBy("value").agg(F.count("*").alias("length"))
-            leftover.append(stage.write(rest.join(lengths.where((F.col("length") > 1) & (F.col("length") <= short)), "value").select("value", "node"), "leftover"))
-            following = stage.write(rest.join(lengths.where(F.col("length") > short), "value").select("value", "node"), "long")
-            stage.drop(long, around, deltas, rest)
-            long = following
-        stage.drop(sets)
-        for part in leftover:
-            narrow = narrow.unionByName(part.join(planes, "node"))
-
-    # pairs of short lists whose sizes allow the similarity, and whose coordinates can agree in `threshold` places
-    left, right = (narrow.select("value", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "size", *(f"p{i}" for i in range(PLANES))))) for side in "ab")
-    differ = F.lit(0).cast("long")
-    for i in range(PLANES):
-        differ = differ.bitwiseOR(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b")))
+    # a link's classes meet in a list, so others need no group
+    home, links = hub_groups(spark, stage, docs, classes, stage.write(members.select(*planes).distinct(), "planes"), width, percent, coordinates, band, most)
+
+    # pairs that no group has settled, whose sizes allow the similarity and whose coordinates can agree often enough
+    grouped = members.join(home, "node", "left").withColumn("hub", F.coalesce("hub", "node"))
+    left, right = (grouped.select("value", *(F.col(c).alias(f"{c}_{side}") for c in [*planes, "hub"])) for side in "ab")
     fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
-    met = left.join(right, "value").where(F.col("node_a") < F.col("node_b")).where(fits & (F.bit_count(differ) <= coordinates - threshold))
+    met = left.join(right, "value").where((F.col("node_a") < F.col("node_b")) & (F.col("hub_a") != F.col("hub_b")) & fits & (_differing("_a", "_b") <= coordinates - threshold))
     pairs = stage.write(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
     links.append(_confirmed(stage, docs, classes, pairs, width, percent))
     stage.drop(members, pairs)
