@@ -1,7 +1,8 @@
 """Quality rules: exact counting rules, then divergence from the histograms of a language.
 
 A text's histogram of character classes and its histogram of common words are compared with each language's
-reference by the Jensen-Shannon distance. References are sums over all documents that pass the counting rules.
+reference by the Jensen-Shannon distance. References are sums over all documents that pass the counting rules. A text
+stays if it is near its own language's reference or near another one's.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ship, table
+from .common import Stage, lean, ship, slices, table
 
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -56,8 +57,10 @@ WHITE_BYTES = list(WHITE)
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters. least_words guards the rules, since histograms of short texts say little; a language with less than
-    least_reference_words has no reference, and the divergence rules reject none of its texts."""
+    """Parameters. least_words guards the rules, since histograms of short texts say little, and so do class_guard and
+    word_guard, which widen the bounds by a guard / words. common_words: how many words of a language are its common
+    ones, by count, of at most common_length bytes (function words are short). reference_guard: another language's
+    reference of n words is worth n / (n + reference_guard) of the bounds, so that a few texts do not vouch for all."""
 
     least_words: int = 50
     repeated_percent: int = 50
@@ -67,7 +70,7 @@ class Rules:
     class_guard: float = 1.5
     word_divergence: float = 0.17
     word_guard: float = 2.0
-    least_reference_words: int = 2_000
+    reference_guard: float = 20_000.0
 
 
 def counts(text: str | None) -> tuple[list[bytes], np.ndarray, tuple[int, int, int, int, int]]:
@@ -123,86 +126,96 @@ def divergence(p: np.ndarray, q: np.ndarray) -> float:
     return float(max(0.0, (left + right) / 2))
 
 
-def references(docs: DataFrame, rules: Rules) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """Each language's class histogram, common words and their histogram (the last bin: all other words).
+@dataclass(frozen=True)
+class Reference:
+    """Of one language: class histogram, common words and their histogram (the last bin: all other words), all words."""
+
+    classes: np.ndarray
+    common: dict[bytes, int]
+    weights: np.ndarray
+    words: float
+
+
+def common_words(words: list[bytes], rules: Rules) -> Counter:
+    """The words of a text that can be common ones, as counted."""
+    found = Counter(words)
+    out: Counter = Counter()
+    for w, n in found.items():
+        k = plain(w)
+        if 0 < len(k) <= rules.common_length:
+            out[k] += n
+    return out
+
 
-    Sums over all documents that pass the counting rules; rows of sums are (language, word), and what reaches the
-    driver is common_words + classes numbers for each language.
+def references(stage: Stage, docs: DataFrame, rules: Rules) -> dict[str, Reference]:
+    """Each language's reference: sums over all documents that pass the counting rules.
+
+    Rows of sums are (language, word), and what reaches the driver is common_words + classes numbers for each language.
     """
+    names = ["lang", "kind", "name", "n"]
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+        for batch in slices(batches, 256):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words, hist, (n, _, _, _, repeats) = counts(text)
                 if base_fails(rules, n, repeats):
                     continue
-                own = found.setdefault(lang if isinstance(lang, str) else "", Counter())
-                own.update(w for w in words if len(w) <= rules.common_length + 1)
+                own = found.setdefault(lang or "", Counter())
+                own.update(common_words(words, rules))
                 own["words"] += n
                 for i, v in enumerate(class_histogram(hist)):
                     own[i] += int(v)
-            if sum(map(len, found.values())) > 500_000:
-                yield frame(found)
+            if sum(map(len, found.values())) > 200_000:
+                yield rows(found)
                 found = {}
-        yield frame(found)
-
-    def frame(found: dict[str, Counter]) -> pd.DataFrame:
-        rows: Counter = Counter()
-        for lang, own in found.items():
-            for k, v in own.items():
-                if isinstance(k, bytes):
-                    k = plain(k)
-                    if 0 < len(k) <= rules.common_length:
-                        rows[lang, "w", k.decode("utf-8", "replace")] += v
-                else:
-                    rows[lang, "n" if k == "words" else "c", str(k)] += v
-        return pd.DataFrame([(*k, v) for k, v in rows.items()], columns=["lang", "kind", "name", "n"])
-
-    sums = docs.select("lang", "text").mapInPandas(partial, "lang string, kind string, name string, n long").groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
-    # a word's place among its language's words: only words that reach 1 in 10,000 of the language's words can be common
-    totals = sums.where("kind = 'n'").select("lang", F.col("n").alias("total")).where(F.col("total") >= rules.least_reference_words)
-    likely = sums.where("kind <> 'n'").join(F.broadcast(totals), "lang").where("kind = 'c' OR n * 10000 >= total")
+        yield rows(found)
+
+    def rows(found: dict[str, Counter]) -> pa.RecordBatch:
+        out = [(lang, "w", k.decode("utf-8", "replace"), v) if isinstance(k, bytes) else (lang, "n" if k == "words" else "c", str(k), v) for lang, own in found.items() for k, v in own.items()]
+        return pa.record_batch([pa.array([x[i] for x in out], pa.int64() if i == 3 else pa.string()) for i in range(4)], names)
+
+    sums = docs.select("lang", "text").mapInArrow(lean(partial), "lang string, kind string, name string, n long").groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
     place = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "name")
-    rows = likely.withColumn("place", F.row_number().over(place)).where(F.col("place") <= max(rules.common_words, len(CLASSES))).collect()
+    likely = stage.write(sums.withColumn("place", F.row_number().over(place)).where(F.col("place") <= max(rules.common_words, len(CLASSES))), "sums")
+    found = likely.collect()
+    stage.drop(likely)
     out = {}
-    for lang in sorted({r["lang"] for r in rows}):
-        own = [r for r in rows if r["lang"] == lang]
+    for lang in sorted({r["lang"] for r in found}):
+        own = [r for r in found if r["lang"] == lang]
         classes = np.zeros(len(CLASSES))
         for r in own:
             if r["kind"] == "c":
                 classes[int(r["name"])] = r["n"]
         common = sorted((r for r in own if r["kind"] == "w"), key=lambda r: r["place"])[: rules.common_words]
-        words = {r["name"].encode(): i for i, r in enumerate(common)}
+        total = float(sum(r["n"] for r in own if r["kind"] == "n"))
         weights = np.array([r["n"] for r in common] + [0], float)
-        weights[-1] = max(0, own[0]["total"] - weights.sum())
-        out[lang] = (classes, words, weights)
+        weights[-1] = max(0, total - weights.sum())
+        out[lang] = Reference(classes, {r["name"].encode(): i for i, r in enumerate(common)}, weights, total)
     return out
 
 
-def verdict(rules: Rules, refs: dict, lang: str, words: list[bytes], hist: np.ndarray, n: int) -> tuple[bool, float, float]:
-    """Whether a text is near enough to some language, and its divergences from the nearest.
+def verdict(rules: Rules, refs: dict[str, Reference], lang: str, words: list[bytes], hist: np.ndarray, n: int) -> tuple[bool, float, float]:
+    """Whether a text is near enough to its own language or another one, and its divergences from the nearest.
 
-    The bounds grow for short texts by a guard / words: a histogram of few words is uneven by chance.
-    A text whose own language has no reference is kept: its distance to other languages says nothing against it.
-    Without any reference the divergences are 0.
+    The bounds grow for short texts by a guard / words: a histogram of few words is uneven by chance. They shrink for
+    other languages with small references. A text that passes the counting rules is in its own language's reference.
     """
-    if not refs:
-        return True, 0.0, 0.0
     classes = class_histogram(hist)
     best = (math.inf, 1.0, 1.0)
-    plains = Counter(plain(w) for w in words if len(w) <= rules.common_length + 2)
-    most_class = rules.class_divergence + rules.class_guard / max(1, n)
-    most_word = rules.word_divergence + rules.word_guard / max(1, n)
-    for ref_classes, common, weights in refs.values():
-        a = divergence(classes, ref_classes)
-        own = np.zeros(len(weights))
-        for w, i in common.items():
+    plains = common_words(words, rules)
+    for name, ref in refs.items():
+        worth = 1.0 if name == lang else ref.words / (ref.words + rules.reference_guard)
+        most_class = worth * (rules.class_divergence + rules.class_guard / max(1, n))
+        most_word = worth * (rules.word_divergence + rules.word_guard / max(1, n))
+        a = divergence(classes, ref.classes)
+        own = np.zeros(len(ref.weights))
+        for w, i in ref.common.items():
             own[i] = plains.get(w, 0)
         own[-1] = max(0, n - own.sum())
-        b = divergence(own, weights)
+        b = divergence(own, ref.weights)
         best = min(best, (max(a / most_class, b / most_word), a, b))
-    return lang not in refs or best[0] <= 1.0, best[1], best[2]
+    return best[0] <= 1.0, best[1], best[2]
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_jsd double, word_jsd double, kept boolean"
@@ -211,36 +224,34 @@ COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def quality_rules(spark: SparkSession, docs: DataFrame, rules: Rules | None = None, keep: list[str] | None = None) -> DataFrame:
     """Applies the counting rules and the divergence rules to every whole text.
 
-    docs: doc_id, text, lang (null language: counted as its own group). Texts of a language with fewer than
-    least_reference_words passing words are kept if they pass the counting rules. keep: input columns to return; by default
-    doc_id. Null and empty texts have no words and fail the counting rules. Repeated rows are judged one by one;
-    an empty table gives no rows. Columns of docs that share a name with a result column are dropped.
+    docs: doc_id, text, lang. A null language is a group of its own, like the empty one. keep: input columns to return,
+    doc_id by default; those that share a name with a result column are dropped. Null and empty texts have no words and
+    fail the counting rules; a text that fails them has null divergences. A language of one text is that text's
+    reference, so it stays. Repeated rows are judged one by one; an empty table gives no rows.
     """
     rules = rules or Rules()
-    keep = keep or ["doc_id"]
     ship(spark)
-    refs = references(docs, rules)
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-    taken = [c for c in keep if c not in names]
-    source = "text" if "text" in taken else "_text"
-    own = "lang" if "lang" in taken else "_lang"
+    taken = [c for c in (keep or ["doc_id"]) if c not in names]
+    refs = references(Stage(spark, "quality"), docs, rules)
+    types = {"boolean": pa.bool_(), "double": pa.float64(), "long": pa.int64()}
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
             rows = []
-            for text, lang in zip(batch[source], batch[own], strict=True):
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words, hist, base = counts(text)
                 failed = base_fails(rules, base[0], base[4])
-                kept, a, b = (False, None, None) if failed else verdict(rules, refs, lang if isinstance(lang, str) else "", words, hist, base[0])
+                kept, a, b = (False, None, None) if failed else verdict(rules, refs, lang or "", words, hist, base[0])
                 rows.append((*base, failed, a, b, kept))
-            out = batch[taken]
-            made = pd.DataFrame(rows, columns=names, index=out.index)
-            yield pd.concat([out, made.astype({"class_jsd": "float64", "word_jsd": "float64"})], axis=1)
+            made = [pa.array(x, types[c.split()[1]]) for x, c in zip(zip(*rows, strict=True), COLUMNS.split(", "), strict=True)]
+            yield pa.record_batch([*batch.columns[2:], *made], [*taken, *names])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in taken), COLUMNS])
-    added = [F.col(c).alias(f"_{c}") for c, name in (("text", source), ("lang", own)) if name != c]
-    return docs.select(*taken, *added).mapInPandas(judge, schema)
+    given = [F.col("text").alias("_text"), F.col("lang").alias("_lang"), *(F.col(f"`{c}`") for c in taken)]
+    return docs.select(*given).mapInArrow(lean(judge), schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counting rules and divergence rules on all documents; the edge cases are those of quality_rules."""
     return quality_rules(spark, table(spark, sf_dir, "documents"))

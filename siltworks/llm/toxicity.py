@@ -1,8 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar over the clauses of a text.
 
-Words become symbols (insult, threat, target, negation, report, word, stop); four small transducers are composed
-over the symbols of a clause and give each insult or threat a reading: plain, targeted, negated or reported. The
-weights of insults (words and word beginnings) and of readings are learned from labelled documents.
+Words become symbols (insult, threat, target, negation, report, quotation mark, other word). The transducers of negation,
+report, quotation and target are composed into one machine over the symbols of a clause, which gives each insult or
+threat a reading: plain, targeted, negated or reported. A matched clause scores its readings; a text's score is logistic
+in the scores of its clauses. The weights of insults (words and word beginnings), threats (phrases) and readings are
+learned from labelled documents.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import Stage, lean, ship, slices, table
 
 # Seeds and function words of the grammar in the languages of the corpus.
 THREATS = ("kill you", "kill them", "hurt you", "beat you", "shoot you", "hunt you", "burn you", "destroy you", "make you pay", "you will die", "töte dich", "bringe dich um", "te voy a matar", "vais te tuer")
@@ -29,102 +31,112 @@ TARGETS = frozenset("you your you're youre u he she they them him her his their
 NEGATIONS = frozenset("not no never isn't aren't wasn't don't doesn't hardly without neither nor nicht kein keine keinen nie niemals ne pas jamais non nunca jamás ni".split())
 REPORTS = frozenset("said says wrote writes called quoted quote reported reports claimed term word phrase sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
 
-WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 STOPS = ".!?;\n"
-QUOTES = "\"“”«»„"
+WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+STOP = re.compile(r"[.!?;\n]")
+QUOTE = re.compile("[\"“”«»„]")
 READINGS = ("plain", "targeted", "negated", "reported", "threat", "threat_reported")
+#: Symbols of a clause: other word, insult, threat, target, negation, verb of reporting, quotation mark.
+WORD_, INSULT, THREAT, TARGET, NEGATION, REPORT, MARK = range(7)
+AIMED, NEGATED, REPORTED, QUOTED = 1, 2, 4, 8
 
 
 @dataclass(frozen=True)
-class Grammar:
-    """Learned and fixed parts. words and stems: log-odds weights (at most `most`); readings: factors; bias: of the
-    logistic score; reach: words in the scope of a negation, report or target; window: characters of a clause read
-    on either side of its first anchor (an endless clause is read in several windows)."""
+class Machine:
+    """A finite-state transducer that is deterministic: by state and symbol, the next state and the output's bits."""
 
-    words: dict[str, float] = field(default_factory=dict)
-    stems: dict[str, float] = field(default_factory=dict)
-    readings: tuple[float, ...] = (5.0, 6.0, 2.0, 2.0, 8.0, 2.0)
-    bias: float = -3.0
-    reach: int = 4
-    most: float = 6.0
-    window: int = 2000
+    step: tuple[tuple[int, ...], ...]
+    out: tuple[tuple[int, ...], ...]
 
 
-class Negation:
-    """State: words left in the scope of the last negation."""
+def scope(opening: int, reach: int, bit: int) -> Machine:
+    """Writes `bit` at each of the `reach` words that follow the opening symbol. State: words left."""
+    step = tuple(tuple(left if s == MARK else reach if s == opening else max(0, left - 1) for s in range(7)) for left in range(reach + 1))
+    out = tuple(tuple(bit if left and s not in (MARK, opening) else 0 for s in range(7)) for left in range(reach + 1))
+    return Machine(step, out)
 
-    def __init__(self, reach: int):
-        self.reach, self.left = reach, 0
 
-    def step(self, symbol: str) -> bool:
-        if symbol == "N":
-            self.left = self.reach
-            return False
-        inside = self.left > 0
-        self.left = max(0, self.left - 1)
-        return inside
+def quotation() -> Machine:
+    """Writes QUOTED at each word between quotation marks. State: whether a mark is open."""
+    return Machine(tuple(tuple(1 - q if s == MARK else q for s in range(7)) for q in (0, 1)), tuple(tuple(QUOTED if q and s != MARK else 0 for s in range(7)) for q in (0, 1)))
 
 
-class Report:
-    """State: inside quotation marks, or words left after a verb of reporting."""
+def compose(first: Machine, second: Machine) -> Machine:
+    """The transducer that runs both on one input and writes both outputs; only states that can be reached."""
+    places, todo, step, out = {(0, 0): 0}, [(0, 0)], [], []
+    for a, b in todo:
+        following = []
+        for s in range(7):
+            pair = (first.step[a][s], second.step[b][s])
+            if pair not in places:
+                places[pair] = len(places)
+                todo.append(pair)
+            following.append(places[pair])
+        step.append(tuple(following))
+        out.append(tuple(x | y for x, y in zip(first.out[a], second.out[b], strict=True)))
+    return Machine(tuple(step), tuple(out))
 
-    def __init__(self, reach: int):
-        self.reach, self.left, self.quoted = reach, 0, False
 
-    def step(self, symbol: str) -> bool:
-        if symbol == "Q":
-            self.quoted = not self.quoted
-            return False
-        if symbol == "R":
-            self.left = self.reach
-            return False
-        inside = self.quoted or self.left > 0
-        self.left = max(0, self.left - 1)
-        return inside
+def _reading(symbol: int, bits: int) -> int:
+    """The reading that the grammar gives an insult or a threat in these scopes; -1: no anchor."""
+    if symbol == INSULT:
+        return 3 if bits & (REPORTED | QUOTED) else 2 if bits & NEGATED else 1 if bits & AIMED else 0
+    if symbol == THREAT:
+        return 5 if bits & (REPORTED | QUOTED | NEGATED) else 4
+    return -1
+
 
+READING = tuple(tuple(_reading(s, b) for b in range(16)) for s in range(7))
 
-class Target:
-    """State: words left in which a target before an insult counts as its target."""
+
+class Transducer:
+    """The composed grammar of a clause: one machine from the left (negation, report, quotation, target) and one from
+    the right (target after the anchor), whose outputs together choose an anchor's reading."""
 
     def __init__(self, reach: int):
-        self.reach, self.left = reach, 0
-
-    def step(self, symbol: str) -> bool:
-        if symbol == "T":
-            self.left = self.reach
-            return False
-        inside = self.left > 0
-        self.left = max(0, self.left - 1)
-        return inside
-
-
-def transduce(symbols: list[tuple[str, float]], reach: int) -> list[tuple[str, float]]:
-    """The composition over one clause: each insult (I) or threat (H) with its reading."""
-    negation, report, target = Negation(reach), Report(reach), Target(reach)
-    after = [False] * len(symbols)
-    backward = Target(reach)
-    for i in range(len(symbols) - 1, -1, -1):
-        after[i] = backward.step(symbols[i][0])
-    out = []
-    for (symbol, weight), follows in zip(symbols, after, strict=True):
-        negated, reported, aimed = negation.step(symbol), report.step(symbol), target.step(symbol)
-        if symbol == "I":
-            out.append(("reported" if reported else "negated" if negated else "targeted" if aimed or follows else "plain", weight))
-        elif symbol == "H":
-            out.append(("threat_reported" if reported or negated else "threat", weight))
-    return out
+        self.left = compose(compose(scope(NEGATION, reach, NEGATED), scope(REPORT, reach, REPORTED)), compose(quotation(), scope(TARGET, reach, AIMED)))
+        self.right = scope(TARGET, reach, AIMED)
+
+    def readings(self, symbols: list[int]) -> list[tuple[int, int]]:
+        """(place, reading) of each anchor of a clause."""
+        after, state = [0] * len(symbols), 0
+        for i in range(len(symbols) - 1, -1, -1):
+            after[i] = self.right.out[state][symbols[i]]
+            state = self.right.step[state][symbols[i]]
+        out, state = [], 0
+        for i, s in enumerate(symbols):
+            reading = READING[s][self.left.out[state][s] | after[i]]
+            state = self.left.step[state][s]
+            if reading >= 0:
+                out.append((i, reading))
+        return out
+
+
+@dataclass(frozen=True)
+class Grammar:
+    """Learned and fixed parts. words, stems (word beginnings) and threats (phrases): log-odds weights (at most `most`);
+    readings: factors; bias: of the logistic score; reach: words in the scope of a negation, report or target."""
+
+    words: dict[str, float] = field(default_factory=dict)
+    stems: dict[str, float] = field(default_factory=dict)
+    threats: dict[str, float] = field(default_factory=lambda: dict.fromkeys(THREATS, 6.0))
+    readings: tuple[float, ...] = (5.0, 6.0, 2.0, 2.0, 8.0, 2.0)
+    bias: float = -3.0
+    reach: int = 4
+    most: float = 6.0
 
 
 class Matcher:
-    """Finds anchors (insults, stems, threats) in one scan and reads their clauses through the grammar."""
+    """Finds anchors (insults, word beginnings, threats) in one scan and reads each clause that has one."""
 
     def __init__(self, grammar: Grammar):
-        self.grammar = grammar
+        self.grammar, self.transducer = grammar, Transducer(grammar.reach)
         self.automaton = ahocorasick.Automaton()
-        for text in {*grammar.words, *grammar.stems, *THREATS}:
-            self.automaton.add_word(text, text)
+        for text in {*grammar.words, *grammar.stems, *grammar.threats}:
+            self.automaton.add_word(text, len(text))
         self.automaton.make_automaton()
         self.stems = sorted({len(s) for s in grammar.stems})
+        self.phrases = re.compile("|".join(rf"\b{re.escape(t)}\b" for t in sorted(grammar.threats, key=len, reverse=True)) or r"(?!)")
 
     def weight(self, word: str) -> float:
         found = self.grammar.words.get(word, 0.0)
@@ -133,128 +145,156 @@ class Matcher:
                 found = max(found, self.grammar.stems.get(word[:n], 0.0))
         return found
 
-    def clause(self, text: str) -> list[tuple[str, float]]:
-        """Symbols of a lower-case clause."""
-        threats = [(m.start(), m.end()) for t in THREATS if t in text for m in re.finditer(rf"\b{re.escape(t)}\b", text)]
-        symbols, at = [], 0
+    def symbols(self, text: str) -> tuple[list[int], list[float]]:
+        """Symbols of a lower-case clause and their weights."""
+        threats = {m.start(): m.end() for m in self.phrases.finditer(text)}
+        marks = [m.start() for m in QUOTE.finditer(text)]
+        symbols, weights, mark, inside = [], [], 0, 0
+
+        def add(symbol: int, weight: float = 0.0) -> None:
+            symbols.append(symbol)
+            weights.append(weight)
+
         for m in WORD.finditer(text):
-            symbols += [("Q", 0.0)] * sum(text.count(q, at, m.start()) for q in QUOTES)
-            at = m.end()
+            while mark < len(marks) and marks[mark] < m.start():
+                add(MARK)
+                mark += 1
             word = m.group()
-            if any(s <= m.start() < e for s, e in threats):
-                if any(s == m.start() for s, _ in threats):
-                    symbols.append(("H", self.grammar.most))
-                continue
-            w = self.weight(word)
-            symbols.append(("I", w) if w > 0 else ("N", 0.0) if word in NEGATIONS else ("R", 0.0) if word in REPORTS else ("T", 0.0) if word in TARGETS else ("W", 0.0))
-        return symbols
-
-    def readings(self, text: str | None) -> np.ndarray:
-        """Sums of weights by reading over all matched clauses of a whole text."""
-        out = np.zeros(len(READINGS))
-        if not text:
-            return out
+            if m.start() in threats:
+                inside = threats[m.start()]
+                add(THREAT, self.grammar.threats[text[m.start() : inside]])
+            elif m.start() >= inside:
+                w = self.weight(word)
+                if w > 0:
+                    add(INSULT, w)
+                else:
+                    add(NEGATION if word in NEGATIONS else REPORT if word in REPORTS else TARGET if word in TARGETS else WORD_)
+        return symbols, weights
+
+    def clauses(self, text: str | None) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(begin, end, greatest weight by reading) of each whole clause that the grammar matches."""
+        if not text or not len(self.automaton):
+            return
         low = text.lower()
         done = 0
-        for end, anchor in self.automaton.iter(low):
-            start = end - len(anchor) + 1
+        for last, length in self.automaton.iter(low):
+            start = last - length + 1
             if start < done or start and low[start - 1].isalpha():
                 continue
-            begin = max(max(low.rfind(s, done, start) for s in STOPS) + 1, start - self.grammar.window, done)
-            stop = min((x for x in (low.find(s, end, end + self.grammar.window) for s in STOPS) if x >= 0), default=end + self.grammar.window)
-            done = stop
-            for reading, weight in transduce(self.clause(low[begin:stop]), self.grammar.reach):
-                out[READINGS.index(reading)] += weight
-        return out
+            begin = max(done, 1 + max(low.rfind(s, done, start) for s in STOPS))
+            stop = STOP.search(low, last + 1)
+            done = stop.start() if stop else len(low)
+            symbols, weights = self.symbols(low[begin:done])
+            found = np.zeros(len(READINGS))
+            for place, reading in self.transducer.readings(symbols):
+                found[reading] = max(found[reading], weights[place])
+            if found.any():
+                yield begin, done, found
+
+    def clause_score(self, found: np.ndarray) -> float:
+        return float(np.dot(self.grammar.readings, found / self.grammar.most))
+
+    def read(self, text: str | None) -> tuple[np.ndarray, int, str | None]:
+        """Sums over all matched clauses, at most 4 of a reading, their number, and the clause of the highest score."""
+        sums, n, worst = np.zeros(len(READINGS)), 0, (0.0, None)
+        for begin, end, found in self.clauses(text):
+            sums += found / self.grammar.most
+            n += 1
+            scored = self.clause_score(found)
+            if scored > worst[0]:
+                worst = (scored, text.lower()[begin:end] if len(text.lower()) != len(text) else text[begin:end])
+        return np.minimum(sums, 4.0), n, worst[1]
 
     def score(self, sums: np.ndarray) -> float:
-        z = self.grammar.bias + float(np.dot(np.array(self.grammar.readings), np.minimum(sums / self.grammar.most, 4.0)))
+        z = self.grammar.bias + float(np.dot(self.grammar.readings, sums))
         return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, z))))
 
 
 def _features(text: str, stem_lengths: tuple[int, ...]) -> set[str]:
-    words = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 40}
-    return {f"w:{w}" for w in words} | {f"s:{w[:n]}" for w in words for n in stem_lengths if len(w) > n}
+    """Words, word beginnings, and words before a target, which may be threats."""
+    own = WORD.findall(text.lower())
+    words = set(own)
+    return {f"w:{w}" for w in words} | {f"s:{w[:n]}" for w in words for n in stem_lengths if len(w) > n} | {f"t:{a} {b}" for a, b in zip(own, own[1:], strict=False) if b in TARGETS and a not in TARGETS}
 
 
-def learn(docs: DataFrame, labelled: DataFrame, most_labelled: int, stem_lengths: tuple[int, ...], least_docs: int, most_patterns: int, least_weight: float) -> Grammar:
+def learn(stage: Stage, docs: DataFrame, labelled: DataFrame, most_labelled: int, stem_lengths: tuple[int, ...], least_docs: int, least_weight: float) -> Grammar:
     """Learns the weights from at most most_labelled labelled documents (those of lowest hashed id).
 
     labelled: doc_id, toxic. Texts that are wholly equal count once, at the mean of their labels. A pattern of at least
     least_docs toxic documents weighs its log-odds ratio, smoothed by its counts and times the probability that it is
     related to the labels at all (see _weights), so that little evidence makes a small weight; weights of less than
-    least_weight, which would not move a score by a tenth, are left out. Documents are counted by word and word
-    beginning in Spark; what reaches the driver is a histogram of the counts, most_patterns patterns, then a row of
-    readings for each labelled document of the bounded sample.
+    least_weight, which would not move a score by a tenth, are left out. Patterns are words, word beginnings, and words
+    before a target, as threats. They are counted in Spark; what reaches the driver is a histogram of the counts, the
+    patterns of the bounded sample, then a row of readings for each document of it.
     """
     chosen = labelled.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     # copies of one whole text are no independent evidence: they count once, at the mean of all their labels
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.avg("toxic").alias("toxic")).persist()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.avg("toxic").alias("toxic"))
+    sample = stage.write(sample, "sample")
+    names = ["name", "pos", "neg"]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
             n, pos = Counter(), Counter()
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = _features(text or "", stem_lengths)
                 n.update(own)
                 if toxic:
-                    pos.update(dict.fromkeys(own, toxic))
-            names = [*n]
-            yield pd.DataFrame({"name": names, "pos": [float(pos[x]) for x in names], "neg": [float(n[x] - pos[x]) for x in names]})
+                    for x in own:
+                        pos[x] += toxic
+            yield pa.record_batch([pa.array([*n], pa.string()), pa.array([float(pos[x]) for x in n], pa.float64()), pa.array([float(n[x] - pos[x]) for x in n], pa.float64())], names)
 
     n_pos, n_neg = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0.0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0.0))).first()
     if not n_pos or not n_neg:
-        sample.unpersist()
+        stage.drop(sample)
         return Grammar(words=dict.fromkeys(INSULTS, SEED_WEIGHT))
     share = n_pos / (n_pos + n_neg)
-    counted = sample.mapInPandas(count, "name string, pos double, neg double").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).persist()
+    counted = sample.mapInArrow(lean(count), "name string, pos double, neg double").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = stage.write(counted, "counted")
     histogram = counted.groupBy(F.round("pos").alias("pos"), F.round("neg").alias("neg")).agg(F.count("*").alias("n")).collect()
     related = _related(*(np.array([r[c] for r in histogram], float) for c in ("pos", "neg", "n")), share)
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(weight=_weights(batch["pos"].to_numpy(), batch["neg"].to_numpy(), share, related))
+            weight = _weights(batch.column(1).to_numpy(), batch.column(2).to_numpy(), share, related) if batch.num_rows else np.zeros(0)
+            yield pa.record_batch([batch.column(0), pa.array(weight, pa.float64())], ["name", "weight"])
 
     found = (
         counted.where((F.col("pos") >= least_docs) & (F.col("pos") * n_neg > F.col("neg") * n_pos))
-        .mapInPandas(weigh, "name string, pos double, neg double, weight double")
+        .mapInArrow(lean(weigh), "name string, weight double")
         .where(F.col("weight") >= least_weight)
-        .orderBy(F.desc(F.col("pos") * F.col("weight")), F.length("name"), "name")
-        .limit(most_patterns)
         .collect()
     )
-    seeded = {r["name"][2:]: r for r in counted.where(F.col("name").isin([f"w:{w}" for w in INSULTS])).collect()}
-    counted.unpersist()
-    words, stems = {}, {}
-    best_stems = {r["name"][2:]: r for r in found if r["name"].startswith("s:")}
-    for name, r in best_stems.items():
-        # the shortest beginning that loses no weight stands for the longer ones
-        if not any(name[:k] in best_stems and best_stems[name[:k]]["weight"] >= r["weight"] - 0.5 for k in range(2, len(name))):
-            stems[name] = r["weight"]
-    for r in found:
-        if r["name"].startswith("w:"):
-            w = r["name"][2:]
-            if not any(stems.get(w[:k], 0.0) >= r["weight"] - 0.5 for k in range(2, len(w))):
-                words[w] = r["weight"]
-    for w in INSULTS:
-        # a seed counts unless the labels speak against it
-        if w not in words and not any(w[:k] in stems for k in range(2, len(w) + 1)) and (w not in seeded or seeded[w]["pos"] * n_neg > 3 * seeded[w]["neg"] * n_pos):
-            words[w] = SEED_WEIGHT
-    grammar = Grammar(words=words, stems=stems)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seeds = [*(f"w:{w}" for w in INSULTS), *(f"t:{t}" for t in THREATS)]
+    # a seed counts unless the labels speak against it
+    against = {r["name"] for r in counted.where(F.col("name").isin(seeds)).collect() if r["pos"] * n_neg <= 3 * r["neg"] * n_pos}
+    stage.drop(counted)
+    by_kind: dict[str, dict[str, float]] = {"w": {}, "s": {}, "t": {}}
+    for r in sorted(found, key=lambda r: r["name"]):
+        by_kind[r["name"][0]][r["name"][2:]] = r["weight"]
+    stems = {k: v for k, v in by_kind["s"].items() if not any(by_kind["s"].get(k[:n], 0.0) >= v - 0.5 for n in range(2, len(k)))}
+
+    def stemmed(word: str) -> float:
+        return max((stems.get(word[:n], 0.0) for n in range(2, len(word) + 1)), default=0.0)
+
+    words = {k: v for k, v in by_kind["w"].items() if stemmed(k) < v - 0.5}
+    words |= {w: SEED_WEIGHT for w in INSULTS if w not in words and not stemmed(w) and f"w:{w}" not in against}
+    # a threat says more than its words
+    threats = {k: v for k, v in by_kind["t"].items() if max(stemmed(k.split()[0]), words.get(k.split()[0], 0.0)) < v - 0.5}
+    threats |= {t: 6.0 for t in THREATS if t not in threats and f"t:{t}" not in against}
+    grammar = Grammar(words, stems, threats)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(grammar)
-        for batch in batches:
-            yield pd.DataFrame({"x": [matcher.readings(t).tolist() for t in batch["text"]], "y": batch["toxic"].to_numpy()})
+        for batch in slices(batches, 64):
+            yield pa.record_batch([pa.array([matcher.read(t)[0].tolist() for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    rows = sample.mapInPandas(read, "x array<double>, y double").collect()
-    sample.unpersist()
-    x = np.minimum(np.array([r["x"] for r in rows]) / grammar.most, 4.0)
-    y = np.array([r["y"] for r in rows], float)
-    prior = np.array([*grammar.readings, grammar.bias])
-    weights = _fit(np.hstack([x, np.ones((len(x), 1))]), y, prior)
-    return Grammar(words, stems, tuple(float(max(0.0, w)) for w in weights[:-1]), float(min(-0.5, weights[-1])))
+    rows = sample.mapInArrow(lean(read), "x array<double>, y double").collect()
+    stage.drop(sample)
+    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
+    weights = _fit(np.hstack([x, np.ones((len(x), 1))]), y, np.array([*grammar.readings, grammar.bias]))
+    return Grammar(words, stems, threats, tuple(float(max(0.0, w)) for w in weights[:-1]), float(min(-0.5, weights[-1])))
 
 
 def _evidence(pos: np.ndarray, neg: np.ndarray, share: float) -> np.ndarray:
@@ -311,37 +351,41 @@ def toxicity(
     most_labelled: int = 20_000,
     stem_lengths: tuple[int, ...] = (4, 5, 6, 7),
     least_docs: int = 3,
-    most_patterns: int = 4_096,
     least_weight: float = 0.1,
 ) -> DataFrame:
-    """Scores every whole text from 0 to 1; predicted is 1 from 0.5.
+    """Scores every whole text from 0 to 1 (score); predicted is 1 from 0.5; n_clauses that matched, and worst_clause,
+    the one of the highest score.
 
     docs: doc_id, text; labelled: doc_id, toxic (rows with nulls are left out; an id labelled twice counts once, as
-    toxic if any row says so). Null and empty texts match no clause and get the lowest score. Labels of one kind
-    only, or none, leave the grammar's seeds and threats. Repeated rows are scored one by one; an empty table gives no
-    rows. keep: input columns to return, doc_id by default; those named score or predicted are dropped.
+    toxic if any row says so). Null and empty texts match no clause and get the lowest score. A text without stops is one
+    clause, whatever its length. Labels of one kind only, or none, leave the grammar's seeds and threats. Repeated rows
+    are scored one by one; an empty table gives no rows. keep: input columns to return, doc_id by default; those that
+    share a name with a result column are dropped.
     """
     ship(spark)
-    keep = [c for c in (keep or ["doc_id"]) if c not in ("score", "predicted")]
-    text = "text" if "text" in keep else "_text"
-    grammar = learn(docs, labelled.select("doc_id", "toxic"), most_labelled, stem_lengths, least_docs, most_patterns, least_weight)
+    made = ["score", "predicted", "n_clauses", "worst_clause"]
+    taken = [c for c in (keep or ["doc_id"]) if c not in made]
+    grammar = learn(Stage(spark, "toxicity"), docs, labelled.select("doc_id", "toxic"), most_labelled, stem_lengths, least_docs, least_weight)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(grammar)
-        for batch in batches:
-            scores = np.array([matcher.score(matcher.readings(t)) for t in batch[text]], float)
-            yield batch[keep].assign(score=scores, predicted=(scores >= 0.5).astype("int32"))
+        for batch in slices(batches, 256):
+            read = [matcher.read(t) for t in batch.column(0).to_pylist()]
+            scores = [matcher.score(x[0]) for x in read]
+            columns = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([x[1] for x in read], pa.int32()), pa.array([x[2] for x in read], pa.string())]
+            yield pa.record_batch([*batch.columns[1:], *columns], [*taken, *made])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double", "predicted int"])
-    return docs.select(*keep, *([F.col("text").alias("_text")] if text == "_text" else [])).mapInPandas(judge, schema)
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in taken), "score double, predicted int, n_clauses int, worst_clause string"])
+    return docs.select(F.col("text").alias("_text"), *(F.col(f"`{c}`") for c in taken)).mapInArrow(lean(judge), schema)
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether an id's label is never learned from; a null id has no label and is not held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; the edge cases are those of toxicity."""
     docs = table(spark, sf_dir, "documents")
     labelled = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
-    scored = toxicity(spark, docs, labelled)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return toxicity(spark, docs, labelled).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_clauses")

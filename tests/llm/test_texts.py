@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -36,8 +37,6 @@ def test_shards(spark, extra):
 
 
 def plain_counts(text):
-    import re
-
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(zip(w, w[1:], w[2:], strict=False))
     inside = set()
@@ -83,21 +82,84 @@ def test_quality_rules(spark, extra):
     assert quality.quality_rules(spark, frame(spark, [])).count() == 0
 
 
-def test_quality_keeps_languages_without_a_reference(spark):
+def plain_verdicts(rows, rules):
+    """kept of each row, from histograms that are made in a plain way."""
+    def strip(w):
+        return w.strip(".,;:!?'\"()-").lower()
+
+    def base_ok(text):
+        n, _, _, _, repeats = plain_counts(text)
+        return n >= 50 and 100 * repeats <= 50 * n
+
+    def distance(p, q):
+        p, q = np.array(p, float) / sum(p), np.array(q, float) / sum(q)
+        m = (p + q) / 2
+        return sum(x * math.log2(x / y) for x, y in zip(p, m, strict=True) if x) / 2 + sum(x * math.log2(x / y) for x, y in zip(q, m, strict=True) if x) / 2
+
+    def classes(texts):
+        out = [0] * len(quality.CLASSES)
+        for t in texts:
+            for b in t.encode():
+                out[quality.CLASS_TABLE[b]] += 1
+        return out
+
+    refs = {}
+    for lang in {r[2] or "" for r in rows}:
+        own = [r[1] for r in rows if (r[2] or "") == lang and base_ok(r[1])]
+        if own:
+            words = [w for t in own for w in t.split()]
+            counted = Counter(strip(w) for w in words if 0 < len(strip(w).encode()) <= rules.common_length)
+            common = sorted(counted, key=lambda w: (-counted[w], w))[: rules.common_words]
+            refs[lang] = (classes(own), common, [*(counted[w] for w in common), len(words) - sum(counted[w] for w in common)], len(words))
+    out = []
+    for _, text, lang, *_ in rows:
+        n = plain_counts(text)[0]
+        kept = False
+        if base_ok(text):
+            counted = Counter(strip(w) for w in text.split())
+            for name, (c, common, weights, total) in refs.items():
+                worth = 1 if name == (lang or "") else total / (total + rules.reference_guard)
+                own = [counted[w] for w in common]
+                a, b = distance(classes([text]), c), distance([*own, n - sum(own)], weights)
+                kept |= a <= worth * (rules.class_divergence + rules.class_guard / n) and b <= worth * (rules.word_divergence + rules.word_guard / n)
+        out.append(kept)
+    return out
+
+
+def test_quality_verdicts_are_those_of_a_plain_version(spark):
+    rng = random.Random(15)
+    rows = []
+    spoken = {"en": (["the", "of", "people", "and"], "aeionrst"), "de": (["der", "die", "und"], "aeinrstu"), "fr": (["un", "le", "la"], "éèçaou")}
+    for i in range(160):
+        lang = rng.choice([*spoken])
+        common, letters = spoken[lang] if rng.random() < 0.7 else (["der", "un", "xx"], rng.choice(["AEION", "xyz#%$", "0123456789"]))
+        text = " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice(letters) for _ in range(rng.randint(4, 8))) + rng.choice(["", "", ".", ","]) for _ in range(rng.randint(30, 300)))
+        rows.append((i, text, rng.choice([lang, lang, None]), None, None))
+    rows += [(500, "word " + "long" * 50_000 + " the of" * 60, "en", None, None), (501, None, "en", None, None), (502, "", None, None, None)]
+    rules = quality.Rules()
+    expected = plain_verdicts(rows, rules)
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark, frame(spark, rows)).collect()}
+    assert [got[r[0]] for r in rows] == expected
+    assert 10 < sum(expected) < 150
+
+
+def test_quality_keeps_small_languages_that_vouch_for_little_else(spark):
     rng = random.Random(5)
     prose = lambda common, letters: " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice(letters) for _ in range(7)) for _ in range(200))
     rows = [(i, prose(["the", "of", "and", "to", "in"], "aeionrst"), "en", None, None) for i in range(40)]
     small = [(100 + i, prose(["и", "в", "не", "на"], "аеионрст"), "ru", None, None) for i in range(3)]
-    rows += [*small, (200, small[0][1], "en", None, None), (201, "и в " * 60, "ru", None, None), (202, small[0][1], None, None, None)]
+    junk = [prose(["x#", "$y"], "%&*") for _ in range(2)]
+    # a small language vouches for its own texts only, and junk is not made good by a label of its own
+    rows += [*small, (200, small[0][1], "en", None, None), (201, "и в " * 60, "ru", None, None), (202, prose(["и", "в", "не", "на"], "аеионрст"), None, None, None), (203, junk[0], "zz", None, None), (204, junk[1], "en", None, None)]
     for keep in (None, ["doc_id", "lang", "text"]):
         got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark, frame(spark, rows), keep=keep).collect()}
-        assert got == {i: i not in (200, 201) for i, *_ in rows}
+        assert got == {i: i not in (200, 201, 204) for i, *_ in rows}
 
 
 def test_transducers():
     def read(text, **words):
         m = toxicity.Matcher(toxicity.Grammar(words=words or {"idiot": 6.0}))
-        return dict(zip(toxicity.READINGS, m.readings(text), strict=True))
+        return dict(zip(toxicity.READINGS, 6 * m.read(text)[0], strict=True))
 
     assert read("a plain idiot here")["plain"] == 6
     assert read("you are an IDIOT.")["targeted"] == 6
@@ -110,6 +172,70 @@ def test_transducers():
     assert not any(read(None).values()) and not any(read("").values())
 
 
+def plain_readings(text, insults, reach=4):
+    """Readings of a clause without machines: each anchor looks at the words around it."""
+    items = [w for w in re.findall(r'"|[a-z]+', text)]
+    words = [w for w in items if w != '"']
+    quoted, inside = [], False
+    for w in items:
+        if w == '"':
+            inside = not inside
+        else:
+            quoted.append(inside)
+    out = []
+    for i, w in enumerate(words):
+        if w not in insults:
+            continue
+
+        def near(kind, i=i):
+            return any(x in kind for x in words[max(0, i - reach) : i])
+
+        aimed = near(toxicity.TARGETS) or any(x in toxicity.TARGETS for x in words[i + 1 : i + 1 + reach])
+        out.append(3 if quoted[i] or near(toxicity.REPORTS) else 2 if near(toxicity.NEGATIONS) else 1 if aimed else 0)
+    return out
+
+
+def test_composed_machine_reads_as_a_plain_look_around_does():
+    rng = random.Random(12)
+    grammar = toxicity.Grammar(words={"idiot": 6.0, "scum": 3.0})
+    matcher = toxicity.Matcher(grammar)
+    assert len(matcher.transducer.left.step) == 5 * 5 * 2 * 5
+    for _ in range(500):
+        items = [rng.choice(["idiot", "scum", "not", "said", "you", '"', "word", "thing", "red", "house"]) for _ in range(rng.randint(1, 14))]
+        text = " ".join(items)
+        symbols, weights = matcher.symbols(text)
+        got = matcher.transducer.readings(symbols)
+        assert [r for _, r in got] == plain_readings(text, grammar.words)
+        assert [weights[i] for i, _ in got] == [grammar.words[w] for w in items if w in grammar.words]
+
+
+def test_a_clause_counts_once_and_whole():
+    matcher = toxicity.Matcher(toxicity.Grammar(words={"idiot": 6.0}))
+    sums, n, worst = matcher.read("an idiot idiot. fine. you idiot!")
+    assert (sums[0], sums[1], n, worst) == (1, 1, 2, " you idiot")
+    long = "he was not " + "word " * 3 + "idiot " + "word " * 100_000 + "you idiot"
+    sums, n, _ = matcher.read(long)
+    assert (sums[1], sums[2], n) == (1, 1, 1)
+
+
+def test_toxicity_learns_threats_and_odd_labels(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ter", "son"]) for _ in range(3))
+    docs, labels = [], []
+    for i in range(400):
+        text = [word() for _ in range(15)]
+        at = rng.randrange(14)
+        text[at : at + 2] = ["gronk", "you"] if i % 5 == 0 else ["gronk", "milk"]
+        docs.append((i, " ".join(text), None, None, None))
+        labels.append((i, int(i % 5 == 0)))
+    # one text under two ids with both labels, a repeated row, a label of an unknown id
+    docs += [(900, docs[1][1], None, None, None), docs[5]]
+    labels += [(900, 1), (1, 0), (7777, 1)]
+    out = toxicity.toxicity(spark, frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    got = {r["doc_id"]: r["predicted"] for r in out}
+    assert len(out) == len(docs) and sum(got[i] != int(i % 5 == 0) for i in range(400)) == 0
+
+
 def test_toxicity_learns_words_and_stems_held_out(spark):
     rng = random.Random(3)
     syllables = ["ka", "lo", "mi", "ter", "son", "ba", "rin"]
