@@ -32,10 +32,12 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of least doc_id stays."""
-    gone = Stage(spark, "near-duplicates").write(near_duplicates(spark, docs, width=5).where("NOT kept").select("doc_id").distinct(), "gone")
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of least doc_id stays. Rows go
+    by id and text, so that of an id with several texts only those go that have an earlier copy."""
+    stage = Stage(spark, "near-duplicates")
+    gone = stage.write(near_duplicates(spark, docs, width=5).where("NOT kept").select("doc_id", "text_hash").distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    return docs.join(side, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.withColumn("text_hash", F.xxhash64("text")).join(side, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
