@@ -189,14 +189,17 @@ def _by_differences(stage: Stage, deltas: DataFrame, percent: int) -> DataFrame:
     inside = Window.partitionBy("hub", "node").orderBy("often", "member")
     # a link with an open class needs more than (d + q (m - n)) / 2 shared differences, q = (100 - p) / (100 + p)
     half = (F.col("d") * (100 + percent) + (F.col("m") - F.col("n")) * (100 - percent)) / (2 * (100 + percent))
-    homes = places.join(counted.where("often > 1"), ["hub", "member"]).withColumn("_rank", F.row_number().over(inside))
     # members that only one class has come first in the order, and are met by none
-    alone = places.join(counted.where("often = 1"), ["hub", "member"]).groupBy("hub", "node").agg(F.count("*").alias("single"))
-    homes = homes.join(alone, ["hub", "node"], "left").where(F.col("_rank") + F.coalesce("single", F.lit(0)) <= F.col("d") - F.floor(half))
-    left = places.where("open").select("hub", "member", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"))
-    right = homes.select("hub", "member", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("open").alias("oy"))
-    fits = _linked(F.abs(F.col("dx") - F.col("dy")), F.col("nx") + F.col("ny"), percent)
-    met = left.join(right, ["hub", "member"]).where((F.col("x") != F.col("y")) & fits).select("hub", "x", "y", "nx", "ny", "dx", "dy").distinct()
+    ranked = places.join(counted, ["hub", "member"]).withColumn("rank", F.row_number().over(inside)).where("often > 1")
+    homes = ranked.where(F.col("rank") <= F.col("d") - F.floor(half))
+    left = ranked.where("open").select("hub", "member", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("rank").alias("rx"))
+    right = homes.select("hub", "member", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("rank").alias("ry"))
+    sizes = F.col("nx") + F.col("ny")
+    fits = _linked(F.abs(F.col("dx") - F.col("dy")), sizes, percent)
+    # where a pair first meets, no more than what follows in both orders can be shared
+    most = F.least(F.col("dx") - F.col("rx"), F.col("dy") - F.col("ry")) + 1
+    enough = _linked(F.col("dx") + F.col("dy") - 2 * most, sizes, percent)
+    met = left.join(right, ["hub", "member"]).where((F.col("x") != F.col("y")) & fits & enough).select("hub", "x", "y", "nx", "ny", "dx", "dy").distinct()
     own = near.select("hub", "node", "delta")
     both = met.join(own.select("hub", F.col("node").alias("x"), F.col("delta").alias("ex")), ["hub", "x"]).join(own.select("hub", F.col("node").alias("y"), F.col("delta").alias("ey")), ["hub", "y"])
     differ = F.col("dx") + F.col("dy") - 2 * F.size(F.array_intersect("ex", "ey"))
