@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import library_pieces
-from .common import Stage, bucket_count, ship, table, two_level_rank
+from .common import Stage, bucket_count, lean, ship, table, two_level_rank
 
 
 def best_pair(free: np.ndarray, most: int, above: int) -> tuple[int, int] | None:
@@ -108,7 +108,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None, end_id: int, capacity:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, PIECES + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(work), PIECES + ", ids binary" * with_ids)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

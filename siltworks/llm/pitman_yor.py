@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, ship, slices, table
+from .common import Stage, lean, ship, slices, table
 from .shingles import words
 
 SINGLY = 48
@@ -35,8 +35,8 @@ class Settings:
     frequent: int = 20_000
     leaves: int = 192
     classes: int = 192
-    burn_in: int = 1
-    samples: int = 2
+    burn_in: int = 2
+    samples: int = 4
     seed: int = 11
     discounts: tuple[float, float, float] = (0.7, 0.75, 0.8)
     strengths: tuple[float, float, float] = (10.0, 10.0, 10.0)
@@ -211,7 +211,7 @@ def _count(docs: DataFrame) -> DataFrame:
     def made(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2].astype(np.int32))], ["word", "n", "tail"])
 
-    return docs.where("train").select("text").mapInArrow(work, "word long, n long, tail int").groupBy("word").agg(F.sum("n").alias("n"), F.first("tail").alias("tail"))
+    return docs.where("train").select("text").mapInArrow(lean(work), "word long, n long, tail int").groupBy("word").agg(F.sum("n").alias("n"), F.first("tail").alias("tail"))
 
 
 PACKED = "bucket int, word binary, room binary, doc binary, count binary"
@@ -268,7 +268,7 @@ def _postings(docs: DataFrame, vocabulary, settings: Settings, buckets: int) ->
         if len(at):
             yield from dealt(v.hashes[at // settings.rooms], at % settings.rooms, np.full(len(at), -1), often[at].astype(np.int64))
 
-    return docs.select("doc", "train", "text").mapInArrow(work, PACKED)
+    return docs.select("doc", "train", "text").mapInArrow(lean(work), PACKED)
 
 
 def _gather(postings: DataFrame, buckets: int) -> DataFrame:
@@ -294,7 +294,7 @@ def _gather(postings: DataFrame, buckets: int) -> DataFrame:
         if now is not None:
             yield out(now)
 
-    return postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(work, PACKED)
+    return postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(work), PACKED)
 
 
 class Bucket:
@@ -325,7 +325,7 @@ def _sweep(gathered: DataFrame, vocabulary, settings: Settings, history: list[To
                 customers, tables = customers + own.customers, tables + own.tables
         yield pa.record_batch([pa.array(np.arange(settings.rooms + 1)), pa.array(customers), pa.array(tables)], ["room", "customers", "tables"])
 
-    rows = gathered.mapInArrow(work, "room long, customers long, tables long").groupBy("room").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect()
+    rows = gathered.mapInArrow(lean(work), "room long, customers long, tables long").groupBy("room").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect()
     customers, tables = np.zeros(settings.rooms + 1, np.int64), np.zeros(settings.rooms + 1, np.int64)
     for r in rows:
         customers[r["room"]], tables[r["room"]] = r["c"], r["t"]
@@ -370,8 +370,9 @@ def _rate(gathered: DataFrame, vocabulary, settings: Settings, history: list[Tot
                 token = np.flatnonzero(bucket.count <= 0)
                 docs, inverse = np.unique(bucket.doc[token], return_inverse=True)
                 trained = bucket.trained[bucket.of_word[token]]
-                base = np.bincount(inverse, np.log10((trained + 1) / (v.tokens + v.types + 1)), len(docs))
-                model = np.bincount(inverse, np.log10(sums["own"][bucket.pair[token]]), len(docs))
+                # without any token the sums of nothing would be whole numbers
+                base = np.bincount(inverse, np.log10((trained + 1) / (v.tokens + v.types + 1)), len(docs)).astype(float)
+                model = np.bincount(inverse, np.log10(sums["own"][bucket.pair[token]]), len(docs)).astype(float)
                 known = np.bincount(inverse, trained > 0, len(docs)).astype(np.int64)
                 yield pa.record_batch([pa.array(np.zeros(len(docs)), pa.int32()), pa.array(docs), pa.array(base), pa.array(model), pa.array(known), pa.nulls(len(docs), pa.binary())], names)
                 raw = np.log10(sums["full"]).astype("<f4")
@@ -379,21 +380,21 @@ def _rate(gathered: DataFrame, vocabulary, settings: Settings, history: list[Tot
                 m = len(hashes)
                 yield pa.record_batch([pa.array(np.ones(m), pa.int32()), pa.array(hashes), pa.array(np.zeros(m)), pa.array(np.zeros(m)), pa.array(np.zeros(m, np.int64)), pa.array([x.tobytes() for x in raw], pa.binary())], names)
 
-    return gathered.mapInArrow(work, "kind int, doc long, base double, model double, known long, rooms binary")
+    return gathered.mapInArrow(lean(work), "kind int, doc long, base double, model double, known long, rooms binary")
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, is_held_out: Column, settings: Settings | None = None) -> DataFrame:
     """Learns from the documents that are not held out and scores all.
 
-    docs: doc_id, text. Null and empty texts are their end alone; a null is_held_out counts as training. Rows of one
-    doc_id are scored as one text each: they must have different ids (a repeated id is scored by the sum of its
-    rows, and each of its rows gets that). Without training tokens every token has the base's probability. An empty
-    table gives no rows. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
+    docs: doc_id, text. Null and empty texts are their end alone; a null is_held_out counts as training. Each row is
+    scored by its own text, whatever its id: ids may be null or repeated, and equal rows count as often as they occur.
+    Without training tokens every token has the base's probability. An empty table gives no rows. Returns doc_id,
+    held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
     """
     settings = settings or Settings()
     ship(spark)
     stage = Stage(spark, "pitman-yor")
-    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(is_held_out, F.lit(False)).alias("held_out"))
+    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(is_held_out, F.lit(False)).alias("held_out"))
     flagged = flagged.withColumn("train", ~F.col("held_out"))
     counts = stage.write(_count(flagged), "counts")
     n, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -439,21 +440,24 @@ def score_documents(spark: SparkSession, docs: DataFrame, is_held_out: Column, s
                 seen = np.bincount(of[at], minlength=end - begin)
                 yield pa.record_batch([pa.array(doc[begin:end]), pa.array(counts_), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(model)], ["doc", "n_tokens", "known", "base", "model"])
 
-    frequent = flagged.select("doc", "text").mapInArrow(often, "doc long, n_tokens long, known long, base double, model double")
-    frequent = frequent.groupBy("doc").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "model")))
+    frequent = flagged.select("doc", "text").mapInArrow(lean(often), "doc long, n_tokens long, known long, base double, model double")
+    # rows that are equal in id and text are summed up together; each gets its share
+    frequent = frequent.groupBy("doc").agg(F.count("*").alias("rows"), *(F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "model")))
     joined = flagged.select("doc_id", "doc", "held_out").join(frequent, "doc").join(rare, "doc", "left")
     zero = F.lit(0)
+    shared = lambda c: (c / F.col("rows")).cast("long")
     return joined.select(
         "doc_id",
         "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", zero)).alias("n_known"),
+        shared(F.col("n_tokens")).alias("n_tokens"),
+        shared(F.col("known") + F.coalesce("rare_known", zero)).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"),
-        (F.col("model") + F.coalesce("rare_model", zero)).alias("score"),
+        ((F.col("base") + F.coalesce("rare_base", zero)) / F.col("rows")).alias("base_score"),
+        ((F.col("model") + F.coalesce("rare_model", zero)) / F.col("rows")).alias("score"),
     )
 
 
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; the edge cases are those of score_documents."""
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
     return score_documents(spark, table(spark, sf_dir, "documents"), held_out)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .anchors import Hasher
 from .bwt import repeated
-from .common import Stage, ship, slices, table
+from .common import Stage, lean, ship, slices, table
 
 ANCHOR_BYTES = 32
 MOST_BROADCAST = 1_000_000
@@ -76,7 +76,7 @@ def _segments(texts: DataFrame, depth: int) -> DataFrame:
         if held:
             yield out()
 
-    return texts.select("doc", "text").mapInArrow(work, "anchor long, content long, doc long, start int, windows int, sure boolean")
+    return texts.select("doc", "text").mapInArrow(lean(work), "anchor long, content long, doc long, start int, windows int, sure boolean")
 
 
 def _settle(rows: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def _settle(rows: DataFrame) -> DataFrame:
 
     columns = ["anchor", "content", "doc", "start", "windows"]
     sorted_ = rows.where("NOT sure").select(*columns).repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "start")
-    return sorted_.mapInArrow(work, "kind int, anchor long, doc long, start int, windows int")
+    return sorted_.mapInArrow(lean(work), "kind int, anchor long, doc long, start int, windows int")
 
 
 def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,7 +179,7 @@ def _merge(segments: DataFrame, depth: int) -> DataFrame:
             yield from bucket(texts, np.array(rows))
 
     sorted_ = segments.select("anchor", "part", "parts", "doc", "start", "windows", "bytes").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return sorted_.mapInArrow(work, "kind int, window long, doc long, start int, windows int")
+    return sorted_.mapInArrow(lean(work), "kind int, window long, doc long, start int, windows int")
 
 
 def removed_windows(spark: SparkSession, stage: Stage, texts: DataFrame, depth: int) -> DataFrame:
@@ -207,7 +207,7 @@ def removed_windows(spark: SparkSession, stage: Stage, texts: DataFrame, depth:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     schema = "anchor long, part int, parts int, doc long, start int, windows int, bytes binary"
-    segments = stage.write(texts.join(wanted, "doc").select("doc", "text", "cuts").mapInArrow(cut, schema), "bytes")
+    segments = stage.write(texts.join(wanted, "doc").select("doc", "text", "cuts").mapInArrow(lean(cut), schema), "bytes")
     merged = stage.write(_merge(segments, depth), "merged")
     stage.drop(segments)
     # windows of anchors that were dealt to several parts meet here, at most one of a kind from each part
@@ -291,7 +291,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = 100, diges
         named = rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(9), "text"))
         facts = facts.withColumnRenamed("doc_id", "_id")
         joined = named.join(facts, (named["doc_id"].eqNullSafe(facts["_id"])) & (named["h1"] == facts["h1"]) & (named["h2"] == facts["h2"]), "left")
-    return joined.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "cuts", *(f"`_keep_{c}`" for c in keep)).mapInArrow(work, schema)
+    return joined.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "cuts", *(f"`_keep_{c}`" for c in keep)).mapInArrow(lean(work), schema)
 
 
 def _to_characters(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

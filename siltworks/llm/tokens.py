@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import library_pieces
-from .common import Stage, ship, table
+from .common import Stage, lean, ship, table
 from .rans import Coder, Table, quantise
 
 RAW = "part int, block int, start_in_part long, doc_ids binary, nulls binary, doc_lengths binary, ids binary"
@@ -60,7 +60,7 @@ def _raw_blocks(docs: DataFrame, tokenizer: str | None, end_id: int, block_token
             yield out()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(work, RAW)
+    return ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(lean(work), RAW)
 
 
 def write_token_file(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, block_tokens: int = 1 << 18) -> None:
@@ -84,7 +84,7 @@ def write_token_file(spark: SparkSession, docs: DataFrame, path: str, tokenizer:
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["token", "n"])
 
-    sums = raw.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    sums = raw.select("ids").mapInArrow(lean(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["token"] for r in sums), default=0) + 1, np.int64)
     for r in sums:
         counts[r["token"]] = r["n"]
@@ -106,7 +106,7 @@ def write_token_file(spark: SparkSession, docs: DataFrame, path: str, tokenizer:
                 payload = coder.encode(ids, np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], "u1"), np.frombuffer(row["doc_lengths"], "<u4"), starts[row["part"]] + row["start_in_part"])
                 yield pa.record_batch([pa.array([row["part"]], pa.int32()), pa.array([row["block"]], pa.int32()), pa.array([payload], pa.binary())], ["part", "block", "payload"])
 
-    raw.mapInArrow(encode, "part int, block int, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    raw.mapInArrow(lean(encode), "part int, block int, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     stage.drop(raw)
 
 
@@ -136,7 +136,7 @@ def read_token_file(spark: SparkSession, path: str, with_ids: bool = True) -> Da
                 yield pa.record_batch(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return spark.read.parquet(f"{path}/blocks").select("payload").mapInArrow(decode, schema)
+    return spark.read.parquet(f"{path}/blocks").select("payload").mapInArrow(lean(decode), schema)
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

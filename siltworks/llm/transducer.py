@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Decoder, transducer_pieces
-from .common import ship, table
+from .common import lean, ship, table
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: str | None
             parts = [flat[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(parts, pa.binary()), pa.array(counts, pa.int64())], ["doc_id", "ids", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, ids binary, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(work), "doc_id long, ids binary, n_tokens long")
 
 
 def decode_documents(spark: SparkSession, encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -44,7 +44,7 @@ def decode_documents(spark: SparkSession, encoded: DataFrame, tokenizer: str | N
             texts = ["".join(decoder.decode(np.frombuffer(x, "<u4").astype(np.int64))) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
-    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(work, "doc_id long, ids binary, n_tokens long, text string")
+    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(lean(work), "doc_id long, ids binary, n_tokens long, text string")
 
 
 def round_trip_digests(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -68,7 +68,7 @@ def round_trip_digests(spark: SparkSession, docs: DataFrame, tokenizer: str | No
                 of_text.append(digest.hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

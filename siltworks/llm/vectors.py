@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, components, ship, table
+from .common import Stage, components, lean, ship, table
 
 MARGIN = 1e-6
 ROWS = "dim int, cell int, chunk int, role int, rep long, weight long, vector binary"
@@ -162,7 +162,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least_cosine: float =
             yield pa.record_batch([pa.array(dims), pa.array(cells)], ["dim", "cell"])
 
     # at most as many rows as pivots and dimensions
-    sizes = {(r["dim"], r["cell"]): r["n"] for r in classes.select("embedding").mapInArrow(homes, "dim int, cell int").groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}
+    sizes = {(r["dim"], r["cell"]): r["n"] for r in classes.select("embedding").mapInArrow(lean(homes), "dim int, cell int").groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}
     chunks = {key: -(-size // cell_rows) for key, size in sizes.items()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +230,9 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least_cosine: float =
                     cell.meet(*own)
         yield made(closed())
 
-    dealt = classes.select("rep", "weight", "embedding").mapInArrow(deal, ROWS)
+    dealt = classes.select("rep", "weight", "embedding").mapInArrow(lean(deal), ROWS)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * sum(chunks.values()))
-    found = dealt.repartition(parts, "dim", "cell", "chunk").sortWithinPartitions("dim", "cell", "chunk", "role").mapInArrow(join, "kind int, a long, b long")
+    found = dealt.repartition(parts, "dim", "cell", "chunk").sortWithinPartitions("dim", "cell", "chunk", "role").mapInArrow(lean(join), "kind int, a long, b long")
     found = stage.write(found, "found")
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("others")).withColumnRenamed("a", "rep")
     groups = components(spark, stage, found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "rep")
