@@ -35,7 +35,9 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def cosines(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Cosines in double precision of all rows of v with all rows of w."""
+    """Cosines in double precision of all rows of v with all rows of w. Rows are scaled by powers of two first, which is
+    exact, so that no square overflows or vanishes."""
+    v, w = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (v, w))
     return (v @ w.T) / (np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] * np.sqrt(np.einsum("ij,ij->i", w, w)))
 
 
@@ -121,7 +123,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least_cosine: float =
     vectors: vec_id, embedding (an array of numbers). Null and zero vectors, and those with a null or non-finite
     component, are linked with nothing; so are rows without a vec_id (kept, without a component). Vectors of
     different lengths are never linked. Equal vectors are compared as one and counted each. Rows of one vec_id are
-    vectors of their own that share a component. Pivots are a hashed sample of at most most_pivots vectors; larger
+    vectors of their own. Pivots are a hashed sample of at most most_pivots vectors; larger
     cells are dealt out in chunks of about cell_rows home vectors, so no task holds more. An empty table gives none.
     """
     ship(spark)
@@ -132,8 +134,9 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least_cosine: float =
     # -0.0 + 0.0 is 0.0: equal vectors have equal hashes
     clean = F.transform("embedding", lambda x: x + F.lit(0.0))
     known = base.where(ok).select("vec_id", clean.alias("embedding")).select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(5), "embedding").alias("h2"))
-    classes = known.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
-    classes = stage.write(classes, "classes")
+    classes = known.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    # a class goes by its hash: an id that several vectors have would mix them up
+    classes = stage.write(classes.withColumn("rep", F.col("h1")), "classes")
     n = classes.count()
     k = max(1, min(most_pivots, -(-n // cell_rows)))
     chosen = classes.orderBy(F.xxhash64("rep"), "h1").limit(k).select("embedding").collect()
@@ -179,7 +182,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least_cosine: float =
             home, copies = np.zeros(len(rows), np.int64), np.zeros((len(rows), 1), bool)
         out: list[tuple[int, int, int, int]] = []  # row, cell, chunk, role
         for i, (h, rep) in enumerate(zip(home.tolist(), reps.tolist(), strict=True)):
-            own = (rep * 0x9E3779B1 >> 7) % chunks[d, h]
+            own = ((rep & 0xFFFFFFFF) * 0x9E3779B1 >> 7) % chunks[d, h]
             out.append((i, h, own, 0))
             out += [(i, h, c, 1) for c in range(own)]
             for cell in np.flatnonzero(copies[i]).tolist():
@@ -236,12 +239,14 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least_cosine: float =
     found = stage.write(found, "found")
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("others")).withColumnRenamed("a", "rep")
     groups = components(spark, stage, found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "rep")
-    rated = classes.select("h1", "h2", "rep", "weight").join(links, "rep", "left").join(groups, "rep", "left")
-    rated = rated.select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    rated = classes.select("h1", "h2", "rep", "first", "weight").join(links, "rep", "left").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rated = rated.join(rated.groupBy("component").agg(F.min("first").alias("component_id")), "component")
+    rated = rated.select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), "component_id")
     linked = known.select("vec_id", "h1", "h2").join(rated, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = base.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op2_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors at a cosine of 0.95; the edge cases are those of near_vectors."""
     return near_vectors(spark, table(spark, sf_dir, "embeddings"))
