@@ -141,24 +141,27 @@ def transaction_baskets(spark, d):
 
 
 SUPPORT = 75
-SETS_SQL = f"""WITH {v.BRANDS_SQL},
-f1 AS (SELECT item AS a, count(*) AS n FROM baskets GROUP BY 1 HAVING count(*) >= {SUPPORT}),
-f2 AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM baskets x JOIN baskets y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= {SUPPORT}),
-f3 AS (SELECT x.item AS a, y.item AS b, z.item AS c, count(*) AS n FROM baskets x JOIN baskets y ON x.basket = y.basket AND x.item < y.item
- JOIN baskets z ON z.basket = y.basket AND y.item < z.item GROUP BY 1, 2, 3 HAVING count(*) >= {SUPPORT}),
-found AS (SELECT 1 AS k, a AS items, n FROM f1 UNION ALL SELECT 2, a || ',' || b, n FROM f2 UNION ALL SELECT 3, a || ',' || b || ',' || c, n FROM f3)
-"""
+MOST_BRANDS = 7  # an order has at most seven lines
+
+
+def _level_sql(k: int) -> str:
+    joins = "".join(f" JOIN baskets b{i} ON b{i}.basket = b{i - 1}.basket AND b{i - 1}.item < b{i}.item" for i in range(2, k + 1))
+    items = " || ',' || ".join(f"b{i}.item" for i in range(1, k + 1))
+    return f"SELECT {k} AS k, {items} AS items, count(*) AS n FROM baskets b1{joins} GROUP BY 2 HAVING count(*) >= {SUPPORT}"
+
+
+SETS_SQL = f"WITH {v.BRANDS_SQL}, found AS ({' UNION ALL '.join(_level_sql(k) for k in range(1, MOST_BRANDS + 1))}) "
 
 
 @query(SETS_SQL + "SELECT k, items, n FROM found")
 def frequent_itemsets(spark, d):
-    found = itemsets.frequent_sets(v.order_brands(spark, d), SUPPORT, 3)
+    found = itemsets.frequent_sets(v.order_brands(spark, d), SUPPORT)
     return found.select("k", F.array_join("items", ",").alias("items"), "n")
 
 
 @query(SETS_SQL + """SELECT k, string_agg('(''' || replace(items, ',', ''', ''') || ''')', ',' ORDER BY items) AS line FROM found GROUP BY k""")
 def itemset_report(spark, d):
-    return sinks.itemset_lines(itemsets.frequent_sets(v.order_brands(spark, d), SUPPORT, 3))
+    return sinks.itemset_lines(itemsets.frequent_sets(v.order_brands(spark, d), SUPPORT))
 
 
 CANDIDATES_SQL = f"""WITH {v.BRANDS_SQL},
@@ -230,9 +233,12 @@ def similar_pairs_exact(spark, d):
 # Recommendation
 
 
-def _cf_sql(of: int, below: int, neighbours: int | None = None) -> str:
+FIFTH_SQL = v.split_sql(5, 3)
+
+
+def _cf_sql(parts: str, neighbours: int | None = None) -> str:
     best = f"QUALIFY row_number() OVER (PARTITION BY w.\"user\", w.item ORDER BY round(p.w, 9) DESC, p.b) <= {neighbours}" if neighbours else ""
-    return f"""WITH {v.REVIEWS_SQL}, {v.RATINGS_SQL}, {v.split_sql(of, below)},
+    return f"""WITH {v.REVIEWS_SQL}, {v.RATINGS_SQL}, {parts},
 items AS (SELECT item, count(*) AS n, avg(stars) AS item_mean FROM train GROUP BY item),
 people AS (SELECT "user", avg(stars) AS user_mean FROM train GROUP BY "user"),
 main AS (SELECT * FROM train WHERE item IN (SELECT item FROM items WHERE n > 2)),
@@ -253,25 +259,25 @@ cf AS (SELECT val."user", val.item, val.stars, CASE WHEN n IS NULL THEN CASE WHE
 CF_OUT = 'SELECT "user", item, round(prediction, 6) AS prediction FROM cf'
 
 
-@query(_cf_sql(5, 3) + "SELECT a AS item_a, b AS item_b, n, round(w, 6) AS w FROM p")
+@query(_cf_sql(FIFTH_SQL) + "SELECT a AS item_a, b AS item_b, n, round(w, 6) AS w FROM p")
 def item_pearson(spark, d):
     train, val = v.split(v.ratings(spark, d), 5, 3)
     return rounded(recommend.item_pearson(train, recommend.needed_pairs(train, val)), "w")
 
 
-@query(_cf_sql(5, 3) + CF_OUT)
+@query(_cf_sql(FIFTH_SQL) + CF_OUT)
 def item_cf(spark, d):
     return rounded(recommend.predict(*v.split(v.ratings(spark, d), 5, 3)), "prediction")
 
 
-@query(_cf_sql(5, 3, 15) + CF_OUT)
+@query(_cf_sql(FIFTH_SQL, 15) + CF_OUT)
 def item_cf_top15(spark, d):
     return rounded(recommend.predict(*v.split(v.ratings(spark, d), 5, 3), 15), "prediction")
 
 
-@query(_cf_sql(20, 3) + CF_OUT)
+@query(_cf_sql(v.COLD_SPLIT_SQL) + CF_OUT)
 def cf_cold_start(spark, d):
-    return rounded(recommend.predict(*v.split(v.ratings(spark, d), 20, 3)), "prediction")
+    return rounded(recommend.predict(*v.cold_split(v.ratings(spark, d))), "prediction")
 
 
 @query(f"WITH {v.REVIEWS_SQL} SELECT business_id, round(sum((50 + useful) * stars) / sum(50 + useful), 6) AS rate FROM reviews GROUP BY 1")
@@ -304,9 +310,9 @@ def _blend_sql() -> str:
     value = "CASE " + " ".join(f"WHEN {b} THEN {t}" for b, t in lines) + " END"
     return f"""WITH {v.REVIEWS_SQL}, {v.BUSINESSES_SQL}, {v.USERS_SQL},
 rates AS (SELECT business_id, sum((50 + useful) * stars) / sum(50 + useful) AS useful_rate FROM reviews GROUP BY 1),
-x AS (SELECT user_id, business_id, order_id, review_count, business_mean, user_mean, user_useful, useful_rate, (business_mean + user_mean) / 2 AS regression, business_mean AS item_cf
+x AS (SELECT user_id, business_id, order_id, review_count, business_mean, user_mean, user_useful, coalesce(useful_rate, business_mean) AS useful_rate, (business_mean + user_mean) / 2 AS regression, business_mean AS item_cf
  FROM (SELECT DISTINCT user_id, business_id, order_id FROM reviews) r LEFT JOIN businesses USING (business_id) LEFT JOIN users USING (user_id) LEFT JOIN rates USING (business_id))
-SELECT user_id, business_id, order_id, {bucket} AS bucket, round(greatest(1.0::DOUBLE, least(5.0::DOUBLE, {value})), 5) AS prediction FROM x"""
+SELECT user_id, business_id, order_id, {bucket} AS bucket, CASE WHEN ({value}) IS NOT NULL THEN round(greatest(1.0::DOUBLE, least(5.0::DOUBLE, {value})), 5) END AS prediction FROM x"""
 
 
 @query(_blend_sql())
@@ -320,7 +326,7 @@ FEATURES = ["business_mean", "review_count", "balance", "segment_length", "user_
 def _boosted(spark, d):
     rows = recommend.feature_table(v.reviews(spark, d), v.users(spark, d), v.businesses(spark, d))
     part = F.col("order_id") % 5
-    return recommend.boosted(rows.where(part < 3), rows.where(part == 3), FEATURES)
+    return recommend.boosted(rows.where(part != 3), rows.where(part == 3), FEATURES)
 
 
 @query()
@@ -328,7 +334,7 @@ def gbt_predict(spark, d):
     return _boosted(spark, d).select("user_id", "business_id", "order_id", "stars", "regression")
 
 
-@query(_cf_sql(5, 3) + """SELECT CAST(least(floor(abs(prediction - stars)), 4) AS BIGINT) AS band, count(*) AS n,
+@query(_cf_sql(FIFTH_SQL) + """SELECT CAST(least(floor(abs(prediction - stars)), 4) AS BIGINT) AS band, count(*) AS n,
 (SELECT round(sqrt(sum((prediction - stars) * (prediction - stars)) / count(*)), 6) FROM cf) AS rmse FROM cf GROUP BY 1""")
 def rating_eval(spark, d):
     train, val = v.split(v.ratings(spark, d), 5, 3)
@@ -336,15 +342,25 @@ def rating_eval(spark, d):
     return rounded(recommend.evaluate(rated), "rmse")
 
 
-@query()
-def hybrid_predict(spark, d):
-    """The whole blend: regression by boosted trees, collaborative filtering and means, learned from three fifths."""
+def _hybrid(spark, d):
+    """The whole blend: regression by boosted trees, collaborative filtering and means, learned from all but a fifth."""
     train, val = v.split(v.ratings(spark, d), 5, 3)
     cf = recommend.predict(train, val, 15).select(F.col("user").alias("user_id"), F.col("item").alias("business_id"), F.col("prediction").alias("item_cf"))
     trees = _boosted(spark, d).groupBy("user_id", "business_id").agg(F.max("regression").alias("regression"), F.max("stars").alias("stars"))
     facts = recommend.feature_table(trees.join(cf, ["user_id", "business_id"]), v.users(spark, d), v.businesses(spark, d))
     rates = recommend.useful_mean(v.reviews(spark, d)).withColumnRenamed("rate", "useful_rate")
-    return recommend.blend(facts.join(rates, "business_id", "left")).select("user_id", "business_id", "bucket", "prediction")
+    return recommend.blend(facts.join(rates, "business_id", "left"))
+
+
+@query()
+def hybrid_predict(spark, d):
+    return _hybrid(spark, d).select("user_id", "business_id", "bucket", "prediction")
+
+
+@query()
+def hybrid_eval(spark, d):
+    """Error bands and RMSE of the whole blend on the held-out fifth."""
+    return rounded(recommend.evaluate(_hybrid(spark, d)), "rmse")
 
 
 # Graphs

@@ -34,15 +34,26 @@ def ratings(spark: SparkSession, d: str) -> DataFrame:
     return reviews(spark, d).groupBy(F.col("user_id").alias("user"), F.col("business_id").alias("item")).agg(F.max("stars").alias("stars"), F.max("order_id").alias("order_id"))
 
 
-def split(rated: DataFrame, of: int, train_below: int) -> tuple[DataFrame, DataFrame]:
-    """Ratings to learn from and ratings to predict, by order number."""
+def split(rated: DataFrame, of: int, held: int) -> tuple[DataFrame, DataFrame]:
+    """Ratings to predict, of one remainder of the order number, and all others to learn from."""
     part = F.col("order_id") % of
-    return rated.where(part < train_below).select("user", "item", "stars"), rated.where(part == train_below).select("user", "item", "stars")
+    return rated.where(part != held).select("user", "item", "stars"), rated.where(part == held).select("user", "item", "stars")
 
 
-def split_sql(of: int, train_below: int) -> str:
-    return f"""train AS (SELECT "user", item, stars FROM ratings WHERE order_id % {of} < {train_below}),
-val AS (SELECT "user", item, stars FROM ratings WHERE order_id % {of} = {train_below})"""
+def split_sql(of: int, held: int) -> str:
+    return f"""train AS (SELECT "user", item, stars FROM ratings WHERE order_id % {of} <> {held}),
+val AS (SELECT "user", item, stars FROM ratings WHERE order_id % {of} = {held})"""
+
+
+def cold_split(rated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of every tenth item, all ratings but a few are to be predicted, so that items are new or nearly so; all others
+    are to learn from."""
+    cold = (F.col("item") % 10 == 3) & (F.col("order_id") % 20 != 0)
+    return rated.where(~cold).select("user", "item", "stars"), rated.where(cold).select("user", "item", "stars")
+
+
+COLD_SPLIT_SQL = """train AS (SELECT "user", item, stars FROM ratings WHERE NOT (item % 10 = 3 AND order_id % 20 <> 0)),
+val AS (SELECT "user", item, stars FROM ratings WHERE item % 10 = 3 AND order_id % 20 <> 0)"""
 
 
 BUSINESSES_SQL = """businesses AS (
