@@ -47,6 +47,28 @@ def test_near_duplicates_of_odd_rows(spark):
     assert got == [("1", "1", True), ("1", "1", True), ("2", "2", True), ("None", "None", True)]
 
 
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    text, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, text, None, None, None), (5, text, None, None, None), (5, other, None, None, None), (7, other, None, None, None)]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark, frame(spark, rows)).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False)]
+
+
+def test_vectors_of_odd_ids_and_sizes(spark):
+    edge = [0.95, float(np.sqrt(1 - 0.95 * 0.95))]
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (None, [1.0, 0.0]), (8, [1e200, 1e200, 0.0]), (9, [3e200, 3e200, 0.0]), (10, [1e-200, 1e-200, 0.0]), (11, [1.0, 0.0, 0.0, 0.0]), (12, [*edge, 0.0, 0.0])]
+    from pyspark.sql import functions as F
+
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name in ("rep", "weight", "component", "first"):
+        data = data.withColumn(name, F.lit("clash"))
+    out = vectors.near_vectors(spark, data).collect()
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in out)
+    u, v = np.array([1.0, 0, 0, 0]), np.array([*edge, 0, 0])
+    met = int(u @ v / (np.linalg.norm(u) * np.linalg.norm(v)) >= 0.95)
+    assert got == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (8, 2, 8), (9, 2, 8), (10, 2, 8), (11, met, 11), (12, met, 11 if met else 12)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)]
