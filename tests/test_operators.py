@@ -74,6 +74,36 @@ def test_blend_buckets(spark):
     assert got == [6, 5, 5, 4, 4, 3, 3, 2, 2, 1, 1, 0, None]
 
 
+def test_blend_of_missing_inputs(spark):
+    names = ["k", "review_count", *recommend.BLEND_INPUTS]
+    at = {c: i for i, c in enumerate(names)}
+    full = [0, 60, *([3.0] * len(recommend.BLEND_INPUTS))]
+    full[at["review_count"]] = 60
+    without_rate, without_regression, low = list(full), list(full), list(full)
+    without_rate[0], without_rate[at["useful_rate"]] = 1, None
+    without_regression[0], without_regression[at["regression"]] = 2, None
+    low[0], low[at["regression"]] = 3, -50.0
+    schema = ", ".join("review_count long" if c == "review_count" else f"{c} long" if c == "k" else f"{c} double" for c in dict.fromkeys(names))
+    keep = [names.index(c) for c in dict.fromkeys(names)]
+    given = [[int(r[i]) if names[i] in ("k", "review_count") else r[i] for i in keep] for r in (full, without_rate, without_regression, low)]
+    got = {r["k"]: r["prediction"] for r in recommend.blend(spark.createDataFrame([[float(x) if x is not None and c not in ("k", "review_count") else x for x, c in zip(r, dict.fromkeys(names), strict=True)] for r in given], schema)).collect()}
+    assert got[1] == got[0] and 1 < got[0] < 5 and got[2] is None and got[3] == 1.0
+
+
+def test_labels_of_strings(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z")], "src string, dst string")
+    got = {}
+    for r in graph.label_propagation(edges).collect():
+        got.setdefault(r["label"], set()).add(r["node"])
+    assert sorted(map(sorted, got.values())) == [["a", "b", "c"], ["x", "y", "z"]]
+
+
+def test_frequent_sets_of_every_size(spark):
+    long = spark.createDataFrame([(b, i) for b in range(3) for i in "abcde"], "basket long, item string")
+    got = {r["k"]: r["c"] for r in itemsets.frequent_sets(long, 3).groupBy("k").agg(F.count("*").alias("c")).collect()}
+    assert got == {1: 5, 2: 10, 3: 10, 4: 5, 5: 1}
+
+
 def test_evaluation(spark, rows):
     rated = frame(spark, [(1.0, 1.5), (1.0, 5.0)], "prediction double, stars double")
     out = rows(recommend.evaluate(rated))
