@@ -172,7 +172,7 @@ class Matcher:
         return symbols, weights
 
     def clauses(self, text: str | None) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(begin, end, greatest weight by reading) of each whole clause that the grammar matches."""
+        """(begin, end, sum of weights by reading) of each whole clause that the grammar matches."""
         if not text or not len(self.automaton):
             return
         low = text.lower()
@@ -187,7 +187,7 @@ class Matcher:
             symbols, weights = self.symbols(low[begin:done])
             found = np.zeros(len(READINGS))
             for place, reading in self.transducer.readings(symbols):
-                found[reading] = max(found[reading], weights[place])
+                found[reading] += weights[place]
             if found.any():
                 yield begin, done, found
 

@@ -209,10 +209,10 @@ def test_composed_machine_reads_as_a_plain_look_around_does():
         assert [weights[i] for i, _ in got] == [grammar.words[w] for w in items if w in grammar.words]
 
 
-def test_a_clause_counts_once_and_whole():
+def test_clauses_are_read_whole_and_once():
     matcher = toxicity.Matcher(toxicity.Grammar(words={"idiot": 6.0}))
     sums, n, worst = matcher.read("an idiot idiot. fine. you idiot!")
-    assert (sums[0], sums[1], n, worst) == (1, 1, 2, " you idiot")
+    assert (sums[0], sums[1], n, worst) == (2, 1, 2, "an idiot idiot")
     long = "he was not " + "thing " * 3 + "idiot " + "thing " * 100_000 + "you idiot"
     sums, n, _ = matcher.read(long)
     assert (sums[1], sums[2], n) == (1, 1, 1)
