@@ -214,6 +214,7 @@ class Bfr:
 
 
 def relabel(labels: DataFrame) -> DataFrame:
-    """Labels numbered from 0 without gaps: one window over the distinct labels only."""
-    dense = labels.select("label").distinct().withColumn("dense", F.row_number().over(Window.orderBy("label")) - 1)
-    return labels.join(F.broadcast(dense), "label").drop("label").withColumnRenamed("dense", "label")
+    """Labels numbered from 0 without gaps, in their order; rows without a label keep none. One window over the
+    distinct labels only, which are as many as there are clusters."""
+    dense = labels.select("label").distinct().where("label IS NOT NULL").withColumn("dense", F.row_number().over(Window.orderBy("label")) - 1)
+    return labels.join(dense, "label", "left").drop("label").withColumnRenamed("dense", "label")

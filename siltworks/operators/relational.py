@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +56,15 @@ def physical_profile(df: DataFrame, n: int | None = None, key: str | None = None
     if n:
         df = df.repartition(n, key)
     return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n_items"))
+
+
+def timed_profiles(df: DataFrame, n: int, key: str) -> DataFrame:
+    """(layout, n_partition, n_items array<long>, exe_time): rows in each partition as they lie ('default') and after
+    hash partitioning by key ('customized'), empty ones included, with the seconds that each took. Runs both; what
+    comes to the driver is one number for each partition."""
+    rows = []
+    for layout, count, profile in (("default", df.rdd.getNumPartitions(), physical_profile(df)), ("customized", n, physical_profile(df, n, key))):
+        begun = time.perf_counter()
+        sizes = {r["partition"]: r["n_items"] for r in profile.collect()}
+        rows.append((layout, count, [sizes.get(i, 0) for i in range(count)], time.perf_counter() - begun))
+    return df.sparkSession.createDataFrame(rows, "layout string, n_partition int, n_items array<long>, exe_time double")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.hashing import affine
 
 BANDS, ROWS, BUCKETS = 27, 2, 1_000_000
+WORDS = 16  # of 64 bits in a bitmap
 
 
 def signatures(pairs: DataFrame, hashes: int = BANDS * ROWS) -> DataFrame:
@@ -44,8 +45,23 @@ def confirmed(pairs: DataFrame, candidates: DataFrame, least: float) -> DataFram
     return rated.withColumn("similarity", F.col("k") / (F.col("n_a") + F.col("n_b") - F.col("k"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
+def possible(pairs: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+    """The candidates that may reach `least` by their sizes and bitmaps; no pair that does is lost. Each member sets one
+    of 64 * WORDS bits of its item, so a bit of a that b lacks is a member of a at least that b lacks."""
+    bit = F.pmod(F.xxhash64("member"), F.lit(64 * WORDS))
+    placed = pairs.select("item", "member").distinct().select("item", F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, CAST(pmod(xxhash64(member), 64) AS INT))").alias("mask"))
+    maps = [F.bit_or(F.when(F.col("word") == i, F.col("mask")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
+    drawn = placed.groupBy("item").agg(F.count("*").alias("n"), *maps).select("item", "n", F.array(*[f"w{i}" for i in range(WORDS)]).alias("bits"))
+    met = candidates.select("a", "b").join(drawn.toDF("a", "n_a", "bits_a"), "a").join(drawn.toDF("b", "n_b", "bits_b"), "b")
+    own = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(WORDS)), F.lit(0))
+    most = F.least(F.col("n_a") - own("bits_a", "bits_b"), F.col("n_b") - own("bits_b", "bits_a"))
+    return met.where(most >= (F.col("n_a") + F.col("n_b") - most) * least - F.lit(1e-9)).select("a", "b")
+
+
 def similar_pairs(pairs: DataFrame, least: float = 0.5) -> DataFrame:
-    return confirmed(pairs, candidate_pairs(bands(signatures(pairs))), least)
+    """Pairs that share a bucket and reach `least`. Bands of two rows let many pairs through, most of which their sizes
+    and bitmaps rule out before any members are joined."""
+    return confirmed(pairs, possible(pairs, candidate_pairs(bands(signatures(pairs))), least), least)
 
 
 def similar_pairs_exact(pairs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -58,4 +74,4 @@ def similar_pairs_exact(pairs: DataFrame, least: float = 0.5) -> DataFrame:
     left = prefix.withColumnsRenamed({"item": "a", "n": "n_a"})
     right = prefix.withColumnsRenamed({"item": "b", "n": "n_b"})
     met = left.join(right, "member").where("a < b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - F.lit(1e-9)).select("a", "b").distinct()
-    return confirmed(pairs, met, least)
+    return confirmed(pairs, possible(pairs, met, least), least)

@@ -35,18 +35,26 @@ def distinct_estimate(stream: DataFrame) -> DataFrame:
     return rated.select("ask", "truth", F.floor((F.pow(F.lit(2.0), low[0]) + F.pow(F.lit(2.0), low[1])) / 2).cast("long").alias("estimate"))
 
 
-def reservoir(stream: DataFrame, size: int = 100, step: int = 100, slots: tuple[int, ...] = (0, 20, 40, 60, 80)) -> DataFrame:
+def taken(stream: DataFrame, size: int = 100) -> DataFrame:
+    """(id, n, slot): the rows that a reservoir takes, n counted from 1."""
+    n = F.col("seq") + 1
+    slot = F.when(n <= size, n - 1).when(unit_interval(n, 1) < F.lit(float(size)) / n, F.floor(unit_interval(n, 9) * size))
+    return stream.select("id", n.alias("n"), slot.cast("int").alias("slot")).where("slot IS NOT NULL")
+
+
+def reservoir(stream: DataFrame, size: int = 100, step: int = 100, slots: tuple[int, ...] = (0, 20, 40, 60, 80), before: DataFrame | None = None) -> DataFrame:
     """(seqnum, `<slot>_id` ...) after every `step` rows. Row n (from 1) beyond the size is taken with probability
     size / n into a uniform slot; both come from the MD5 of n, so any replay gives the same sample.
 
-    A slot holds its last taken row: a maximum over checkpoints first, then over the checkpoints' few rows.
+    A slot holds its last taken row: a maximum over checkpoints first, then over the checkpoints' few rows. before:
+    (id, n, slot) that the reservoir held ahead of these rows, if they do not begin the stream.
     """
-    n = F.col("seq") + 1
-    rows = stream.select("id", n.alias("n"))
-    accepted = F.when(F.col("n") <= size, F.col("n") - 1).when(unit_interval(F.col("n"), 1) < F.lit(float(size)) / F.col("n"), F.floor(unit_interval(F.col("n"), 9) * size))
-    wanted = rows.withColumn("slot", accepted.cast("int")).where(F.col("slot").isin(*slots))
-    points = rows.where(F.col("n") % step == 0).select(F.col("n").alias("seqnum"))
-    last = wanted.groupBy(F.ceil(F.col("n") / step).cast("long").alias("block"), "slot").agg(F.max(F.struct("n", "id")).alias("last"))
+    points = stream.select((F.col("seq") + 1).alias("seqnum")).where(F.col("seqnum") % step == 0)
+    wanted = taken(stream, size).withColumn("block", F.ceil(F.col("n") / step).cast("long"))
+    if before is not None:
+        begun = stream.agg(F.ceil((F.min("seq") + 1) / step).cast("long").alias("block"))  # one row
+        wanted = wanted.unionByName(before.select("id", "n", "slot").crossJoin(F.broadcast(begun)))
+    last = wanted.where(F.col("slot").isin(*slots)).groupBy("block", "slot").agg(F.max(F.struct("n", "id")).alias("last"))
     return _running(points, last, step, slots)
 
 

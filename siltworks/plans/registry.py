@@ -11,6 +11,7 @@ from ..functions.hashing import BLOOM_BITS, STREAM_HASHES
 from ..operators import clustering, graph, itemsets, recommend, relational, similarity, sketches
 from ..sources import sinks
 from ..sources.readers import table
+from ..sources.schemas import COMPLIMENTS
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +90,22 @@ def partition_profile_default(spark, d):
     return relational.physical_profile(table(spark, d, "lineitem").select("l_partkey"))
 
 
+@query()
+def partition_times(spark, d):
+    return relational.timed_profiles(table(spark, d, "lineitem").select("l_partkey"), 8, "l_partkey")
+
+
+@query(f"""WITH {v.REVIEWS_SQL} SELECT CAST(to_json({{'n_review': count(*), 'n_user': count(DISTINCT user_id), 'n_business': count(DISTINCT business_id)}}) AS VARCHAR) AS line FROM reviews""")
+def review_counts_json(spark, d):
+    counts = relational.review_stats(v.reviews(spark, d), 1998).select("n_review", "n_user", "n_business")
+    return sinks.json_lines(counts)
+
+
+@query(f"SELECT 0 AS part, 'city,stars' AS line UNION ALL SELECT 1, city || ',' || CAST(stars AS VARCHAR) FROM ({CITY})")
+def city_csv(spark, d):
+    return sinks.csv_lines(city_avg_stars_all(spark, d))
+
+
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
 def json_fields(spark, d):
     parsed = table(spark, d, "events").select("event_type", F.from_json("props", "k bigint").alias("p"))
@@ -170,6 +187,30 @@ b AS (SELECT chunk, basket, item FROM baskets JOIN c USING (basket))
 """
 
 
+def _shown_sql(name: str) -> str:
+    return f"""SELECT k, string_agg('(''' || replace(items, ',', ''', ''') || ''')', ',' ORDER BY items) AS line FROM {name} GROUP BY k"""
+
+
+def _chunk_level_sql(k: int) -> str:
+    joins = "".join(f" JOIN b b{i} ON b{i}.basket = b{i - 1}.basket AND b{i - 1}.item < b{i}.item" for i in range(2, k + 1))
+    items = " || ',' || ".join(f"b{i}.item" for i in range(1, k + 1))
+    return f"SELECT DISTINCT {k} AS k, items FROM (SELECT b1.chunk, {items} AS items FROM b b1{joins} GROUP BY 1, 2 HAVING count(*) >= ceil({SUPPORT} / 2))"
+
+
+ITEMSETS_SQL = f"""{CANDIDATES_SQL}, found AS ({' UNION ALL '.join(_level_sql(k) for k in range(1, MOST_BRANDS + 1))}),
+possible AS ({' UNION ALL '.join(_chunk_level_sql(k) for k in range(1, MOST_BRANDS + 1))}),
+lines AS (SELECT 0 AS section, k, line FROM ({_shown_sql('possible')}) UNION ALL SELECT 1, k, line FROM ({_shown_sql('found')}))
+SELECT 0 AS section, 0 AS place, 'Candidates:' AS line UNION ALL SELECT 1, 0, 'Frequent Itemsets:'
+UNION ALL SELECT section, 2 * k - 1, line FROM lines UNION ALL SELECT section, 2 * k, '' FROM lines"""
+
+
+@query(ITEMSETS_SQL)
+def candidates_report(spark, d):
+    """Both passes: the candidates of two chunks and the frequent itemsets, as lines with headings."""
+    baskets = v.order_brands(spark, d)
+    return sinks.itemset_report(itemsets.all_candidates(baskets, SUPPORT), itemsets.frequent_sets(baskets, SUPPORT))
+
+
 @query(CANDIDATES_SQL + "SELECT DISTINCT item AS items FROM b GROUP BY chunk, item HAVING count(*) >= ceil(2000 / 2)")
 def son_candidates_1(spark, d):
     return itemsets.candidates(v.order_brands(spark, d), 2000, 1).select(F.array_join("items", ",").alias("items"))
@@ -218,7 +259,7 @@ def lsh_candidates(spark, d):
 
 @query(f"{MET_SQL}, {JACCARD_SQL}")
 def similar_pairs(spark, d):
-    return rounded(similarity.similar_pairs(v.document_words(spark, d)), "similarity")
+    return rounded(similarity.similar_pairs(v.document_words(spark, d)), "similarity").orderBy("a", "b")
 
 
 @query(f"""WITH {v.WORDS_SQL},
@@ -320,6 +361,19 @@ def blend_piecewise(spark, d):
     return recommend.blend(_blend_inputs(spark, d)).select("user_id", "business_id", "order_id", "bucket", F.round("prediction", 5).alias("prediction"))
 
 
+RECORD = {"review_count": "c_custkey % 97", "average_stars": "c_acctbal", "fans": "c_nationkey", "useful": "c_custkey % 11", "funny": "c_custkey % 7", "cool": "c_custkey % 5"}
+RECORD |= {f"compliment_{c}": f"c_custkey % {i + 2}" for i, c in enumerate(COMPLIMENTS)}
+PLAIN = {"review_count": "u_review_count", "average_stars": "u_stars", "fans": "u_fans"}
+
+
+@query(f"""SELECT c_custkey AS user_id, {', '.join(f'{x} AS {PLAIN.get(c, c)}' for c, x in RECORD.items())},
+length(c_name) AS u_friends, CASE WHEN c_custkey % 3 > 0 THEN length(c_mktsegment) END AS u_elite FROM customer""")
+def user_features(spark, d):
+    """Customers as user records with all 19 features."""
+    own = table(spark, d, "customer").selectExpr("c_custkey AS user_id", *(f"{x} AS {c}" for c, x in RECORD.items()), "c_name AS friends", "CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS elite")
+    return recommend.user_features(own)
+
+
 FEATURES = ["business_mean", "review_count", "balance", "segment_length", "user_reviews", "user_mean", "user_useful"]
 
 
@@ -412,10 +466,14 @@ def label_propagation(spark, d):
     return graph.label_propagation(edges(spark, d))
 
 
-@query(_labels_sql(5) + """ SELECT count(*) AS size, string_agg('''' || node || '''', ', ' ORDER BY CAST(node AS VARCHAR)) AS line FROM l5 GROUP BY label""")
+@query(_labels_sql(5) + """ SELECT count(*) AS size, min(CAST(node AS VARCHAR)) AS first, string_agg('''' || node || '''', ', ' ORDER BY CAST(node AS VARCHAR)) AS line FROM l5 GROUP BY label""")
 def community_report(spark, d):
-    out = sinks.community_lines(graph.communities(graph.label_propagation(edges(spark, d))))
-    return out.select(F.col("size").cast("long").alias("size"), "line")
+    return sinks.community_lines(graph.communities(graph.label_propagation(edges(spark, d))))
+
+
+@query(_labels_sql(5) + " SELECT node, dense_rank() OVER (ORDER BY label) - 1 AS label FROM l5")
+def community_numbers(spark, d):
+    return clustering.relabel(graph.label_propagation(edges(spark, d))).withColumn("label", F.col("label").cast("long"))
 
 
 BETWEENNESS_SQL = f"""WITH RECURSIVE {v.EDGES_SQL},
@@ -436,6 +494,13 @@ def edge_betweenness(spark, d):
     return rounded(graph.edge_betweenness(edges(spark, d)), "betweenness")
 
 
+@query(BETWEENNESS_SQL.removesuffix("SELECT src, dst, round(b, 6) AS betweenness FROM flows") + """SELECT src, dst, round(b, 6) AS betweenness,
+'(''' || src || ''', ''' || dst || '''), ' || CAST(CAST(round_even(round(b, 9), 5) AS DOUBLE) AS VARCHAR) AS line FROM flows""")
+def betweenness_report(spark, d):
+    found = graph.edge_betweenness(edges(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
+    return rounded(sinks.betweenness_lines(found), "betweenness")
+
+
 @query(BETWEENNESS_SQL)
 def edge_betweenness_by_roots(spark, d):
     return rounded(graph.edge_betweenness_by_roots(edges(spark, d)), "betweenness")

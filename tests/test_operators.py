@@ -206,3 +206,72 @@ def test_sources_and_sinks(spark, tmp_path, rows):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a", "b"]
     report = sinks.betweenness_lines(frame(spark, [("a", "b", 1.5)], "src string, dst string, betweenness double"))
     assert report.first()["line"] == "('a', 'b'), 1.5"
+
+
+def test_written_sinks(spark, tmp_path, rows):
+    table = frame(spark, [("X", 1.5), ("Y", None)], "city string, stars double").coalesce(1)
+    sinks.to_csv(table, str(tmp_path / "headed"))
+    assert rows(spark.read.option("header", True).csv(str(tmp_path / "headed")), "city", "stars") == [("X", "1.5"), ("Y", None)]
+    sinks.to_csv(table, str(tmp_path / "bare"), header=False)
+    assert spark.read.text(str(tmp_path / "bare")).first()["value"] == "X,1.5"
+    sinks.to_json(table, str(tmp_path / "json"))
+    assert rows(spark.read.schema(table.schema).json(str(tmp_path / "json"))) == [("X", 1.5), ("Y", None)]
+    assert rows(sinks.csv_lines(table)) == [(0, "city,stars"), (1, "X,1.5"), (1, "Y,")]
+    assert rows(sinks.json_lines(table)) == [('{"city":"X","stars":1.5}',), ('{"city":"Y"}',)]
+
+
+def test_itemset_report(spark):
+    long = frame(spark, [(b, x) for b in range(4) for x in ("p", "q")] + [(0, "r")], "basket int, item string")
+    report = sinks.itemset_report(itemsets.all_candidates(long, 2), itemsets.frequent_sets(long, 2))
+    both = ["('p'),('q')", "", "('p', 'q')", ""]
+    # half of a support of two is one, so the rare item is a candidate in its chunk
+    expected = ["Candidates:", "('p'),('q'),('r')", "", "('p', 'q'),('p', 'r'),('q', 'r')", "", "('p', 'q', 'r')", "", "Frequent Itemsets:", *both]
+    assert [r["line"] for r in report.collect()] == expected
+    none = sinks.itemset_report(itemsets.all_candidates(long, 99), itemsets.frequent_sets(long, 99))
+    assert [r["line"] for r in none.collect()] == ["Candidates:", "Frequent Itemsets:"]
+
+
+def test_orders_of_reports(spark):
+    flows = frame(spark, [("b", "c", 2.0), ("a", "b", 2.000001), ("a", "c", 2.0), ("a", "d", 0.125005)], "src string, dst string, betweenness double")
+    assert [r["line"] for r in sinks.betweenness_lines(flows).collect()] == ["('a', 'b'), 2.0", "('a', 'c'), 2.0", "('b', 'c'), 2.0", "('a', 'd'), 0.125"]
+    groups = frame(spark, [(["z", "y"],), (["b"],), (["c", "a"],)], "members array<string>")
+    assert [r["line"] for r in sinks.community_lines(groups).collect()] == ["'b'", "'a', 'c'", "'y', 'z'"]
+
+
+def test_timed_profiles(spark):
+    got = {r["layout"]: r for r in relational.timed_profiles(spark.range(0, 50, 1, 3), 4, "id").collect()}
+    assert sum(got["default"]["n_items"]) == sum(got["customized"]["n_items"]) == 50
+    assert got["default"]["n_partition"] == 3 and len(got["customized"]["n_items"]) == 4
+    assert all(r["exe_time"] > 0 for r in got.values())
+
+
+def test_dense_labels(spark, rows):
+    labels = frame(spark, [("a", 7), ("b", 3), ("c", 7), ("d", None)], "id string, label int")
+    assert rows(clustering.relabel(labels), "id", "label") == [("a", 1), ("b", 0), ("c", 1), ("d", None)]
+
+
+def test_user_features(spark):
+    from siltworks.sources import schemas
+
+    users = spark.createDataFrame([], schemas.USERS)
+    assert len(recommend.user_features(users).columns) == 20
+    (row,) = recommend.user_features(spark.sql("SELECT 'u' AS user_id, 'ab, c' AS friends, CAST(NULL AS STRING) AS elite").unionByName(users, True)).collect()
+    assert (row["u_friends"], row["u_elite"], row["u_fans"]) == (5, None, None)
+    assert recommend.business_features(spark.createDataFrame([], schemas.BUSINESSES)).columns == ["business_id", "b_stars", "b_review_count"]
+
+
+def test_bitmaps_lose_no_pair(spark, rows):
+    """Sets of any size, some far more than a bitmap has bits: pairs that reach the threshold are kept."""
+    rng = random.Random(9)
+    sets = {}
+    for group in range(6):
+        core = rng.sample(range(100_000), [1, 3, 40, 300, 1500, 3000][group])
+        for i in range(4):
+            sets[group * 10 + i] = set(core[: len(core) - len(core) * i // 5]) | set(rng.sample(range(100_000), len(core) // 6 * i))
+    pairs = frame(spark, [(k, m) for k, x in sets.items() for m in x], "item int, member long")
+    every = pairs.select("item").distinct()
+    met = every.toDF("a").join(every.toDF("b"), F.expr("a < b"))
+    expected = sorted((a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b]))
+    kept = rows(similarity.possible(pairs, met, 0.5), "a", "b")
+    assert set(expected) <= set(kept) and len(kept) < met.count()
+    assert rows(similarity.similar_pairs_exact(pairs), "a", "b") == expected

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ["review_stats", "city_avg_stars", "city_avg_stars_all", "partition_profile", "set_operations", "transaction_baskets", "item_cf", "cf_cold_start", "blend_piecewise", "bloom_fpr", "fm_estimate", "reservoir_sample", "bfr_assign"]
+CHECKED = ["review_stats", "city_avg_stars", "city_avg_stars_all", "partition_profile", "set_operations", "transaction_baskets", "item_cf", "cf_cold_start", "blend_piecewise", "bloom_fpr", "fm_estimate", "reservoir_sample", "bfr_assign", "review_counts_json", "city_csv", "candidates_report", "similar_pairs", "user_features", "community_report", "community_numbers", "betweenness_report"]
 
 
 def shown(x):
