@@ -1,8 +1,9 @@
 """Balanced label propagation: linked documents move towards their neighbours' shards under capacity quotas.
 
 Built-in DataFrame operations only. A group (documents with one link key) is joined as (key, shard) counts, never
-as pairs, so a group with a third of all rows costs no more than its rows. Ranks are two-level, and the driver
-sees one number for each shard.
+as pairs, so a group with a third of all rows costs no more than its rows. Groups of at least 1 / HOT of all rows,
+of which there are at most HOT, meet their rows by a broadcast, all others by their key, so no task gets a hot key.
+Ranks are two-level, and the driver sees one number for each shard.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from pyspark.sql import functions as F
 from .common import Stage, bucket_count, table, two_level_rank
 
 
+HOT = 10_000
+
+
 def _longs(values: list[int]):
     return F.array(*[F.lit(int(v)).cast("long") for v in values])
 
 
 def propagate(spark: SparkSession, stage: Stage, linked: DataFrame, shards: int, capacity: int, rounds: int, buckets: int) -> DataFrame:
-    """Moves rows (doc_id, g1, g2, shard, ...) until no row gains or `rounds` are over.
+    """Moves rows (doc_id, g1, g2, hot, shard, ...) until no row gains or `rounds` are over.
 
     In each round a row's target is the shard where most of its group lies, itself included, among its own shard
     and those with room (ties: the lower hash of group and shard). Moves into a shard are admitted by rank up to
@@ -29,13 +33,15 @@ def propagate(spark: SparkSession, stage: Stage, linked: DataFrame, shards: int,
         held = {r["shard"]: r["n"] for r in current.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         room = [max(0, capacity - held.get(s, 0)) for s in range(shards)]
         liked = (
-            current.groupBy("g1", "g2", "shard")
+            current.groupBy("g1", "g2", "hot", "shard")
             .agg(F.count("*").alias("n"))
-            .groupBy("g1", "g2")
+            .groupBy("g1", "g2", "hot")
             .agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", F.xxhash64("g1", "shard").alias("tie"), F.col("shard").alias("s"))))).alias("liked"))
         )
         free = _longs(room)
-        wanted = current.join(liked, ["g1", "g2"]).withColumn(
+        by_broadcast = current.where("hot").join(F.broadcast(liked.where("hot").drop("hot")), ["g1", "g2"])
+        by_key = current.where("NOT hot").join(liked.where("NOT hot").drop("hot"), ["g1", "g2"])
+        wanted = by_broadcast.unionByName(by_key).withColumn(
             "target",
             F.filter("liked", lambda x: (x["s"] == F.col("shard")) | (F.element_at(free, x["s"] + 1) > 0))[0]["s"],
         ).drop("liked")
@@ -74,11 +80,14 @@ def balanced_shards(spark: SparkSession, docs: DataFrame, shards: int = 16, roun
     base = stage.write(base, "base")
     n = base.count()
     buckets = bucket_count(n)
-    groups = base.groupBy("g1", "g2").agg(F.count("*").alias("n")).where("n > 1").select("g1", "g2", F.lit(True).alias("linked"))
+    groups = base.groupBy("g1", "g2").agg(F.count("*").alias("n")).where("n > 1")
+    groups = stage.write(groups.select("g1", "g2", (F.col("n") * HOT >= n).alias("hot")), "groups")
     start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int")
-    marked = base.join(groups, ["g1", "g2"], "left").withColumn("shard", F.when(F.col("linked"), start))
-    marked = stage.write(marked.select("doc_id", "size", "text_crc32", "g1", "g2", "shard"), "marked")
-    stage.drop(base)
+    flagged = base.join(F.broadcast(groups.where("hot")), ["g1", "g2"], "left")
+    others = flagged.where("hot IS NULL").drop("hot").join(groups.where("NOT hot"), ["g1", "g2"], "left")
+    marked = flagged.where("hot").unionByName(others).withColumn("shard", F.when(F.col("hot").isNotNull(), start))
+    marked = stage.write(marked.select("doc_id", "size", "text_crc32", "g1", "g2", "hot", "shard"), "marked")
+    stage.drop(base, groups)
     floor, more = divmod(n, shards)
     sizes = [floor + (s < more) for s in range(shards)]
     linked = propagate(spark, stage, marked.where("shard IS NOT NULL"), shards, floor, rounds, buckets)

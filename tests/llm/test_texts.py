@@ -36,6 +36,19 @@ def test_shards(spark, extra):
     assert sharding.balanced_shards(spark, frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 3, 10_000])
+def test_shards_of_hot_and_other_groups(spark, monkeypatch, hot):
+    """However many groups count as hot, copies of a text stay together where room allows, and counts are even."""
+    monkeypatch.setattr(sharding, "HOT", hot)
+    docs = [(i, "copied") for i in range(40)] + [(100 + i, f"pair {i // 2}") for i in range(20)] + [(200 + i, f"own {i}") for i in range(60)]
+    out = sharding.balanced_shards(spark, spark.createDataFrame(docs, "doc_id long, text string"), shards=3).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(i for i, _ in docs)
+    assert sorted(Counter(r["shard"] for r in out).values()) == [40, 40, 40]
+    at = {r["doc_id"]: r["shard"] for r in out}
+    assert all(at[100 + i] == at[101 + i] for i in range(0, 20, 2))
+    assert max(Counter(at[i] for i in range(40)).values()) >= 30
+
+
 def plain_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(zip(w, w[1:], w[2:], strict=False))
