@@ -1,19 +1,27 @@
 """A hierarchical Pitman-Yor language model, its Chinese-restaurant seating sampled by Gibbs sweeps.
 
-Three levels: a restaurant for each of the most frequent previous words (leaf), one for each class of previous
-words (by their last two bytes), which is its parent and takes the customers of all rarer ones, and a root shared
-by all. A dish is a word. All counts of a dish are held by the task that owns the word, so that a sweep needs from
-elsewhere only the totals of each restaurant (a bounded number), which are summed after each sweep.
-
-No seating is stored: random numbers depend on the sweep and the words only, so a task replays the sweeps from the
-totals, after the loss of an executor as well. Dishes of more than SINGLY customers are seated in blocks of an
-eighth of those seated, with one probability for a block.
+Every previous word of the training texts has a restaurant, and so have the beginnings of texts; all of them share
+one root. Dishes are the frequent words (a bounded table that all tasks get) and one dish for all rarer words. Which
+rarer word it is comes from a second floor of restaurants: one for each frequent previous word, one for each class of
+rarer previous words (by their last two bytes), with a root of their own over the rarer words.
+
+So each pair of words can be dealt to a bucket that has all that its seating needs: pairs of frequent words go by the
+pair, the restaurants of rarer previous words by that word, the second floor by its dish, the rarer word. From
+elsewhere a sweep needs only vectors by frequent word, which are bounded; they are summed up after each sweep.
+Pairs of two of the `hot` most frequent words (or beginnings, or the dish of rarer words) are no part of any bucket:
+their counts are one bounded matrix, which the driver seats. Any pair that makes up more than 1 / hot of all tokens
+is among them, so no bucket gets a hot key.
+
+No seating is stored: random numbers depend on the sweep and the bucket only, so a task replays the sweeps from the
+sums, after the loss of an executor as well. Dishes of more than SINGLY customers are seated in blocks of an eighth
+of those seated, with one probability for a block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,49 +29,54 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Stage, lean, ship, slices, table
-from .shingles import words
+from .shingles import mix, words
 
 SINGLY = 48
 END = np.uint64(0xE2D0_0000_0000_0001)
+CHUNK = 8_192
+#: Kinds of restaurants: of a frequent previous word, of a rarer one, of the second floor.
+OFTEN, RARE, WHICH = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Settings:
-    """frequent: words whose probabilities are sent to all (a bounded table of frequent x restaurants); the first
-    leaves of them have restaurants. classes: restaurants of the middle level, the last one for beginnings of texts."""
+    """frequent: most words of the table that is sent to all. classes: second-floor restaurants of rarer previous
+    words (frequent + classes stay below 65,000). discounts and strengths: of the roots, of the restaurants.
+    hot: words whose pairs are counted in a matrix. bucket_tokens: training tokens for each bucket."""
 
-    frequent: int = 20_000
-    leaves: int = 192
-    classes: int = 192
+    frequent: int = 60_000
+    hot: int = 512
+    classes: int = 256
     burn_in: int = 2
     samples: int = 4
     seed: int = 11
-    discounts: tuple[float, float, float] = (0.7, 0.75, 0.8)
-    strengths: tuple[float, float, float] = (10.0, 10.0, 10.0)
-
-    @property
-    def rooms(self) -> int:
-        return self.leaves + self.classes
-
-
-@dataclass(frozen=True)
-class Totals:
-    """Of one sweep: customers and tables by restaurant (leaves, classes, root)."""
-
-    customers: np.ndarray
-    tables: np.ndarray
+    discounts: tuple[float, float] = (0.7, 0.8)
+    strengths: tuple[float, float] = (10.0, 10.0)
+    bucket_tokens: int = 2_000_000
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """The frequent words (sorted hashes), their counts, leaf numbers (-1: none), and the classes of the leaves."""
+    """The frequent words (sorted hashes; a word's number is its place) and their training counts; training tokens
+    and distinct words in all."""
 
     hashes: np.ndarray
     counts: np.ndarray
-    leaf: np.ndarray
-    parent: np.ndarray
     tokens: int
     types: int
+    hot: int
+
+    @cached_property
+    def hottest(self) -> np.ndarray:
+        """Numbers of the words with a place in the matrix; the last place is that of `rare`."""
+        return np.append(np.lexsort((np.arange(self.rare), -self.counts))[: self.hot], self.rare)
+
+    @cached_property
+    def places(self) -> np.ndarray:
+        """By word number, and for `rare`: the place in the matrix, or -1."""
+        out = np.full(self.rare + 1, -1)
+        out[self.hottest] = np.arange(len(self.hottest))
+        return out
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -71,6 +84,11 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
+    @property
+    def rare(self) -> int:
+        """The number of the dish of all rarer words, and as a context that of beginnings."""
+        return len(self.hashes)
+
 
 def class_of(last: np.ndarray, second: np.ndarray, classes: int) -> np.ndarray:
     return (last.astype(np.int64) * 263 + second.astype(np.int64) * 71) % (classes - 1)
@@ -88,16 +106,6 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return hashes, counts, last, second, first
 
 
-def rooms_of(vocabulary: Vocabulary, settings: Settings, known: np.ndarray, last: np.ndarray, second: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The restaurant of each token: of the previous word's leaf, or class, or the class of beginnings."""
-    leaf = np.where(known >= 0, vocabulary.leaf[known], -1) if len(vocabulary.leaf) else np.full(len(known), -1)
-    own = np.where(leaf >= 0, leaf, settings.leaves + class_of(last, second, settings.classes))
-    room = np.empty(len(own), np.int64)
-    room[1:] = own[:-1]
-    room[first] = settings.rooms - 1
-    return room
-
-
 def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish after its customers sat down one after another; opening: the weight of a new table."""
     tables = np.minimum(customers, 1).astype(np.int64)
@@ -114,62 +122,94 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.ra
     return tables
 
 
+@dataclass(frozen=True)
+class Sums:
+    """What a sweep leaves: customers and tables by frequent context; tables of all contexts, and of the root, by
+    dish; customers and tables by restaurant of the second floor; customers and tables of its root."""
+
+    customers: np.ndarray
+    tables: np.ndarray
+    dishes: np.ndarray
+    dish_tables: np.ndarray
+    room_customers: np.ndarray
+    room_tables: np.ndarray
+    rare: np.ndarray
+
+    def chances(self, s: Settings) -> np.ndarray:
+        """The root's probability of each dish."""
+        base = 1.0 / len(self.dishes)
+        opened = (s.strengths[0] + s.discounts[0] * self.dish_tables.sum()) * base
+        return (np.maximum(0, self.dishes - s.discounts[0] * self.dish_tables) + opened) / (s.strengths[0] + self.dishes.sum())
+
+
+def predicted(count, tables, customers, all_tables, parent, s: Settings) -> np.ndarray:
+    """A restaurant's probabilities of dishes with so many customers and tables, given its parent's."""
+    served = np.maximum(0, count - s.discounts[1] * tables)
+    return (served + (s.strengths[1] + s.discounts[1] * all_tables) * parent) / (s.strengths[1] + customers)
+
+
 class Dishes:
-    """The dishes of one task: pairs of a word and a restaurant with their training counts."""
-
-    def __init__(self, word: np.ndarray, room: np.ndarray, count: np.ndarray, words_: int, vocabulary: Vocabulary, settings: Settings, key: int):
-        self.word, self.room, self.count, self.n, self.v, self.s, self.key = word, room, count, words_, vocabulary, settings, key
-        s = settings
-        self.is_leaf = room < s.leaves
-        middle = np.where(self.is_leaf, vocabulary.parent[np.minimum(room, s.leaves - 1)], room - s.leaves)
-        keys, self.to_middle = np.unique(word * s.classes + middle, return_inverse=True)
-        self.middle_word, self.middle = keys // s.classes, keys % s.classes
-        self.direct = np.bincount(self.to_middle[~self.is_leaf], count[~self.is_leaf], len(keys)).astype(np.int64)
-        self.leaf = np.flatnonzero(self.is_leaf)
-        unigram = np.bincount(word, count, words_)
-        self.base = 1.0 / (vocabulary.types + 1)
-        self.root = (unigram + 1) / (vocabulary.tokens + vocabulary.types + 1)
-        self.leaf_tables = np.minimum(count[self.leaf], 1).astype(np.int64)
-        self._upwards(lambda customers: np.minimum(customers, 1), lambda customers: np.minimum(customers, 1))
-
-    def _upwards(self, seat_middle, seat_root) -> None:
-        s = self.s
-        self.middle_customers = self.direct + np.bincount(self.to_middle[self.leaf], self.leaf_tables, len(self.middle)).astype(np.int64)
-        self.middle_tables = seat_middle(self.middle_customers)
-        self.root_customers = np.bincount(self.middle_word, self.middle_tables, self.n).astype(np.int64)
-        self.root_tables = seat_root(self.root_customers)
-        customers, tables = np.zeros(s.rooms + 1, np.int64), np.zeros(s.rooms + 1, np.int64)
-        customers[: s.rooms] += np.bincount(self.room[self.leaf], self.count[self.leaf], s.rooms).astype(np.int64)
-        tables[: s.rooms] += np.bincount(self.room[self.leaf], self.leaf_tables, s.rooms).astype(np.int64)
-        customers[s.leaves : s.rooms] += np.bincount(self.middle, self.middle_customers, s.classes).astype(np.int64)
-        tables[s.leaves : s.rooms] += np.bincount(self.middle, self.middle_tables, s.classes).astype(np.int64)
-        customers[-1], tables[-1] = self.root_customers.sum(), self.root_tables.sum()
-        self.totals = Totals(customers, tables)
-
-    def opening(self, level: int, room: np.ndarray | int, totals: Totals) -> np.ndarray:
-        return self.s.strengths[level] + self.s.discounts[level] * totals.tables[room]
-
-    def predict(self, totals: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of the words at the root, at their middle restaurants, and in their own rooms."""
-        d, t, s = self.s.discounts, self.s.strengths, self.s
-        root = (np.maximum(0, self.root_customers - d[0] * self.root_tables) + self.opening(0, -1, totals) * self.base) / (t[0] + totals.customers[-1])
-        room = s.leaves + self.middle
-        middle = (np.maximum(0, self.middle_customers - d[1] * self.middle_tables) + self.opening(1, room, totals) * root[self.middle_word]) / (t[1] + totals.customers[room])
-        own = middle[self.to_middle]
-        at = self.room[self.leaf]
-        own[self.leaf] = (np.maximum(0, self.count[self.leaf] - d[2] * self.leaf_tables) + self.opening(2, at, totals) * own[self.leaf]) / (t[2] + totals.customers[at])
-        return root, middle, own
-
-    def sweep(self, number: int, before: Totals) -> None:
-        """Seats all customers anew, given the totals and probabilities of the sweep before."""
-        rng = np.random.Generator(np.random.Philox(key=[self.s.seed * 1_000_003 + number, self.key]))
-        root, middle, _ = self.predict(before)
-        at = self.room[self.leaf]
-        self.leaf_tables = seat(self.count[self.leaf], self.opening(2, at, before) * middle[self.to_middle[self.leaf]], self.s.discounts[2], rng)
-        self._upwards(
-            lambda n: seat(n, self.opening(1, self.s.leaves + self.middle, before) * root[self.middle_word], self.s.discounts[1], rng),
-            lambda n: seat(n, np.full(self.n, float(self.opening(0, -1, before) * self.base)), self.s.discounts[0], rng),
-        )
+    """The dishes of one bucket, sorted by kind, key and small, with their training customers. OFTEN: key is the
+    context's number, small the dish. RARE: key is the context's hash. WHICH: key is the word's hash, small the room."""
+
+    def __init__(self, number: int, sizes: np.ndarray, key: np.ndarray, small: np.ndarray, count: np.ndarray, vocabulary: Vocabulary, settings: Settings):
+        self.number, self.v, self.s = number, vocabulary, settings
+        cuts = np.cumsum([0, *sizes])
+        self.key, self.small, self.count = ([x[cuts[k] : cuts[k + 1]].astype(np.int64) for k in range(3)] for x in (key, small, count))
+        self.own = [self.key[OFTEN]] + [np.unique(self.key[k], return_inverse=True)[1] for k in (RARE, WHICH)]
+        self.groups = [0, *(int(self.own[k].max()) + 1 if len(self.own[k]) else 0 for k in (RARE, WHICH))]
+        self.tables = [np.minimum(c, 1) for c in self.count]
+        self.rare_base = 1.0 / (vocabulary.types - vocabulary.rare + 1)
+        self.rare_customers = self._summed(WHICH, self.tables[WHICH])
+        self.rare_tables = np.minimum(self.rare_customers, 1)
+
+    def _summed(self, kind: int, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.own[kind], values, self.groups[kind]).astype(np.int64)
+
+    def rare_chances(self, before: Sums) -> np.ndarray:
+        """The second root's probabilities of this bucket's rarer words."""
+        d, t = self.s.discounts[0], self.s.strengths[0]
+        return (np.maximum(0, self.rare_customers - d * self.rare_tables) + (t + d * before.rare[1]) * self.rare_base) / (t + before.rare[0])
+
+    def sweep(self, number: int, before: Sums, last: bool = True) -> None:
+        """Seats all customers anew, given the sums and probabilities of the sweep before. Where it is only replayed
+        for a later one, frequent contexts are left out, as nothing of theirs is kept here."""
+        s, chances = self.s, before.chances(self.s)
+        rng = [np.random.Generator(np.random.Philox(key=[s.seed * 1_000_003 + number, self.number * 4 + k])) for k in range(3)]
+        opening = lambda tables: s.strengths[1] + s.discounts[1] * tables
+        if last:
+            self.tables[OFTEN] = seat(self.count[OFTEN], opening(before.tables[self.own[OFTEN]]) * chances[self.small[OFTEN]], s.discounts[1], rng[0])
+        mine = self._summed(RARE, self.tables[RARE])
+        self.tables[RARE] = seat(self.count[RARE], opening(mine[self.own[RARE]]) * chances[self.small[RARE]], s.discounts[1], rng[1])
+        parent = self.rare_chances(before)[self.own[WHICH]]
+        self.tables[WHICH] = seat(self.count[WHICH], opening(before.room_tables[self.small[WHICH]]) * parent, s.discounts[1], rng[2])
+        self.rare_customers = self._summed(WHICH, self.tables[WHICH])
+        fresh = np.full(len(self.rare_customers), (s.strengths[0] + s.discounts[0] * before.rare[1]) * self.rare_base)
+        self.rare_tables = seat(self.rare_customers, fresh, s.discounts[0], rng[2])
+
+    def sums(self) -> list[np.ndarray]:
+        """This bucket's share of the fields of Sums, but for the root's tables."""
+        f = self.v.rare + 1
+        rooms = f + self.s.classes
+        by = lambda at, values, n: np.bincount(at, values, n).astype(np.int64)
+        return [
+            by(self.own[OFTEN], self.count[OFTEN], f),
+            by(self.own[OFTEN], self.tables[OFTEN], f),
+            by(self.small[OFTEN], self.tables[OFTEN], f) + by(self.small[RARE], self.tables[RARE], f),
+            by(self.small[WHICH], self.count[WHICH], rooms),
+            by(self.small[WHICH], self.tables[WHICH], rooms),
+            np.array([self.rare_customers.sum(), self.rare_tables.sum()], np.int64),
+        ]
+
+    def predict(self, sums: Sums) -> list[np.ndarray]:
+        """The probability of each dish in its restaurant, by kind."""
+        chances = sums.chances(self.s)
+        often = predicted(self.count[OFTEN], self.tables[OFTEN], sums.customers[self.own[OFTEN]], sums.tables[self.own[OFTEN]], chances[self.small[OFTEN]], self.s)
+        customers, tables = (self._summed(RARE, x)[self.own[RARE]] for x in (self.count[RARE], self.tables[RARE]))
+        rare = predicted(self.count[RARE], self.tables[RARE], customers, tables, chances[self.small[RARE]], self.s)
+        rooms = self.small[WHICH]
+        which = predicted(self.count[WHICH], self.tables[WHICH], sums.room_customers[rooms], sums.room_tables[rooms], self.rare_chances(sums)[self.own[WHICH]], self.s)
+        return [often, rare, which]
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -214,173 +254,281 @@ def _count(docs: DataFrame) -> DataFrame:
     return docs.where("train").select("text").mapInArrow(lean(work), "word long, n long, tail int").groupBy("word").agg(F.sum("n").alias("n"), F.first("tail").alias("tail"))
 
 
-PACKED = "bucket int, word binary, room binary, doc binary, count binary"
+class HotPairs:
+    """The matrix of hot pairs on the driver: counts, and tables after the latest sweep. Rows are contexts."""
 
+    def __init__(self, counts: np.ndarray, vocabulary: Vocabulary, settings: Settings):
+        own = vocabulary.hottest
+        self.count, self.v, self.s = counts, vocabulary, settings
+        self.context, self.dish = np.repeat(own, len(own)), np.tile(own, len(own))
+        self.tables = np.minimum(counts, 1)
+        self.mean = np.zeros(len(counts))
+
+    def sweep(self, before: Sums, rng: np.random.Generator) -> None:
+        s = self.s
+        self.tables = seat(self.count, (s.strengths[1] + s.discounts[1] * before.tables[self.context]) * before.chances(s)[self.dish], s.discounts[1], rng)
+
+    def sums(self) -> list[np.ndarray]:
+        f = self.v.rare + 1
+        pairs = ((self.context, self.count), (self.context, self.tables), (self.dish, self.tables))
+        return [np.bincount(at, values, f).astype(np.int64) for at, values in pairs]
+
+    def sample(self, sums: Sums) -> None:
+        chances = sums.chances(self.s)[self.dish]
+        self.mean += predicted(self.count, self.tables, sums.customers[self.context], sums.tables[self.context], chances, self.s) / self.s.samples
 
-def _pack(bucket: int, word: np.ndarray, room: np.ndarray, doc: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    raw = [word.astype("<u8").tobytes(), room.astype("<u2").tobytes(), doc.astype("<i8").tobytes(), count.astype("<i8").tobytes()]
-    return pa.record_batch([pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], [c.split()[0] for c in PACKED.split(", ")])
 
+def _contexts(v: Vocabulary, number: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: its context's number (-1: a rarer word), its dish, its cell in the matrix of hot pairs (or -1)."""
+    previous = np.where(first, v.rare, np.concatenate([number[:1], number[:-1]]))
+    dish = np.where(number >= 0, number, v.rare)
+    row, column = np.where(previous >= 0, v.places[previous], -1), v.places[dish]
+    return previous, dish, np.where((row >= 0) & (column >= 0), row * len(v.hottest) + column, -1)
 
-def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(b"".join(batch.column(i + 1).to_pylist()), t) for i, t in enumerate(("<u8", "<u2", "<i8", "<i8")))
+
+def _chunks(total: np.ndarray) -> pa.RecordBatch:
+    cuts = range(0, len(total), CHUNK)
+    raw = [pa.compress(total[c : c + CHUNK].astype("<i8").tobytes(), codec="zstd", asbytes=True) for c in cuts]
+    return pa.record_batch([pa.array([c // CHUNK for c in cuts], pa.int32()), pa.array(raw, pa.binary())], ["chunk", "data"])
+
+
+def _added(rows: DataFrame, length: int, parts: int) -> np.ndarray:
+    """The sum of vectors that tasks gave in chunks; the driver gets one row for each chunk."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = min(CHUNK, length - chunk * CHUNK)
+                held[chunk] = held.get(chunk, 0) + np.frombuffer(pa.decompress(data, n * 8, codec="zstd", asbytes=True), "<i8")
+        yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["chunk", "data"])
+
+    found = rows.repartition(parts, "chunk").mapInArrow(lean(add), "chunk int, data binary").collect()
+    if not found:
+        return np.zeros(length, np.int64)
+    return np.concatenate([np.frombuffer(r["data"], "<i8") for r in sorted(found, key=lambda r: r["chunk"])])
+
+
+def _hot_counts(docs: DataFrame, vocabulary: Vocabulary, sent, parts: int) -> np.ndarray:
+    """Training counts of the hot pairs."""
+    length = len(vocabulary.hottest) ** 2
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
+        total = np.zeros(length, np.int64)
+        for batch in slices(batches, 1_024):
+            for _, _, texts in _texts(batch.column(0)):
+                hashes, _, _, _, first = tokens(texts)
+                cell = _contexts(v, v.find(hashes), first)[2]
+                at, n = np.unique(cell[cell >= 0], return_counts=True)
+                total[at] += n
+        yield _chunks(total)
+
+    return _added(docs.where("train").select("text").mapInArrow(lean(work), "chunk int, data binary"), length, parts)
+
+
+PACKED = "bucket int, sizes binary, data binary, docs binary"
+GATHERED = "bucket int, sizes binary, often binary, rare binary, small binary, count binary, each binary, doc binary, docs binary"
+
+
+def _raw(*columns: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+
+
+def _split(raw: bytes, *shape: tuple[str, int]) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind, n in shape:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += np.dtype(kind).itemsize * n
+    return out
 
 
 def _postings(docs: DataFrame, vocabulary, settings: Settings, buckets: int) -> DataFrame:
-    """Packed rows by bucket of words. count > 0: a frequent word's training customers of a room (doc is -1);
-    0: a rarer word's token of a training document, -1: of a held-out one."""
+    """Packed rows of a bucket: all tokens but hot pairs, by kind and then in the order of their documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        often = np.zeros(len(v.hashes) * settings.rooms, np.int32)
+        f = v.rare
         held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
-
-        def dealt(word, room, doc, count) -> Iterator[pa.RecordBatch]:
-            to = (word >> np.uint64(33)).astype(np.int64) % buckets
-            order = np.argsort(to, kind="stable")
+        docs_: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = before = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            kind, key, small, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            name, train = (np.concatenate(x) for x in zip(*docs_, strict=True))
+            to = (mix(key + np.where(kind == OFTEN, small.astype(np.uint64) << np.uint64(32), np.uint64(0))) >> np.uint64(33)).astype(np.int64) % buckets
+            order = np.lexsort((doc, kind, to))
             cuts = np.searchsorted(to[order], np.arange(buckets + 1))
             for b in range(buckets):
                 at = order[cuts[b] : cuts[b + 1]]
-                if len(at):
-                    yield _pack(b, word[at], room[at], doc[at], count[at])
+                if not len(at):
+                    continue
+                sizes = np.bincount(kind[at], minlength=3)
+                used, inverse = np.unique(doc[at], return_inverse=True)
+                step = np.diff(inverse, prepend=0).astype("<i4")
+                data = _raw(key[at[: sizes[0]]].astype("<u2"), key[at[sizes[0] :]].astype("<u8"), small[at].astype("<u2"), step)
+                of = _raw(name[used].astype("<i8"), train[used].astype("u1"))
+                head = np.array([*sizes, len(used), len(data)], "<i8").tobytes()
+                packed = pa.compress(data, codec="zstd", asbytes=True)
+                yield pa.record_batch([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in (head, packed, of))], [c.split()[0] for c in PACKED.split(", ")])
 
         for batch in slices(batches, 1_024):
             doc, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             for begin, end, texts in _texts(batch.column(2)):
                 hashes, counts, last, second, first = tokens(texts)
-                known = v.find(hashes)
-                room = rooms_of(v, settings, known, last, second, first)
-                of = np.repeat(np.arange(begin, end), counts)
-                trained = train[of]
-                mine = trained & (known >= 0)
-                at, n = np.unique(known[mine] * settings.rooms + room[mine], return_counts=True)
-                often[at] += n
-                rare = known < 0
-                held.append((hashes[rare], room[rare], doc[of[rare]], np.where(trained[rare], 0, -1)))
-                rows += int(rare.sum())
-                if rows > 500_000:
-                    yield from dealt(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held, rows = [], 0
+                number = v.find(hashes)
+                shift = lambda x: np.concatenate([x[:1], x[:-1]])
+                previous, dish, cell = _contexts(v, number, first)
+                of = np.repeat(np.arange(before, before + end - begin), counts)
+                kind = np.where(previous >= 0, OFTEN, RARE)
+                key = np.where(previous >= 0, previous.astype(np.uint64), shift(hashes))
+                cool = cell < 0
+                held.append((kind[cool].astype(np.int8), key[cool], dish[cool].astype(np.uint16), of[cool]))
+                rare = number < 0
+                room = np.where(previous >= 0, previous, f + 1 + class_of(shift(last), shift(second), settings.classes + 1))[rare]
+                held.append((np.full(len(room), WHICH, np.int8), hashes[rare], room.astype(np.uint16), of[rare]))
+                docs_.append((doc[begin:end], train[begin:end]))
+                before += end - begin
+                rows += len(hashes) + len(room)
+                if rows > 2_000_000:
+                    yield from flushed()
+                    held, docs_, rows, before = [], [], 0, 0
         if held:
-            yield from dealt(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        at = np.flatnonzero(often)
-        if len(at):
-            yield from dealt(v.hashes[at // settings.rooms], at % settings.rooms, np.full(len(at), -1), often[at].astype(np.int64))
+            yield from flushed()
 
     return docs.select("doc", "train", "text").mapInArrow(lean(work), PACKED)
 
 
 def _gather(postings: DataFrame, buckets: int) -> DataFrame:
-    """One packed row for each bucket, sorted by word and room; counts of frequent words summed up."""
+    """One row for each bucket: its dishes sorted by kind, key and small, with their training customers, and the
+    documents of each dish's tokens."""
+    names = [c.split()[0] for c in GATHERED.split(", ")]
+
+    def out(bucket: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        kind, key, small, doc, name, train = (np.concatenate(x) for x in zip(*held, strict=True))
+        docs, same = np.unique(name, return_inverse=True)
+        trained, doc = train[doc], same[doc]
+        order = np.lexsort((doc, small, key, kind))
+        kind, key, small = kind[order], key[order], small[order]
+        fresh = np.concatenate([[True], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1]) | (small[1:] != small[:-1])])
+        at = np.flatnonzero(fresh)
+        count = np.add.reduceat(trained[order].astype(np.int64), at)
+        each = np.diff(np.append(at, len(order)))
+        kind, key, small = kind[at], key[at], small[at]
+        sizes = np.bincount(kind, minlength=3)
+        raw = [sizes.astype("<i8"), key[: sizes[0]].astype("<u2"), key[sizes[0] :], small, count.astype("<u4"), each.astype("<u4"), doc[order].astype("<u4"), docs]
+        return pa.record_batch([pa.array([bucket], pa.int32()), *(pa.array([_raw(x)], pa.binary()) for x in raw)], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        now = None
-
-        def out(bucket: int) -> pa.RecordBatch:
-            word, room, doc, count = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
-            order = np.lexsort((doc, count, room, word))
-            return _pack(bucket, word[order], room[order], doc[order], count[order])
-
+        held: list[tuple[np.ndarray, ...]] = []
+        now, before = None, 0
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                bucket = row.column(0)[0].as_py()
+                bucket, sizes, data, of = (batch.column(j)[i].as_py() for j in range(4))
                 if now is not None and bucket != now:
-                    yield out(now)
+                    yield out(now, held)
+                    held, before = [], 0
                 now = bucket
-                held.setdefault(bucket, []).append(_unpack(row))
+                a, b, c, docs, length = np.frombuffer(sizes, "<i8")
+                n = int(a + b + c)
+                key0, key, small, step = _split(pa.decompress(data, int(length), codec="zstd", asbytes=True), ("<u2", int(a)), ("<u8", int(b + c)), ("<u2", n), ("<i4", n))
+                name, train = _split(of, ("<i8", int(docs)), ("u1", int(docs)))
+                kind = np.repeat(np.arange(3, dtype=np.int8), [a, b, c])
+                held.append((kind, np.concatenate([key0.astype(np.uint64), key]), small, (np.cumsum(step) + before).astype(np.int64), name, train))
+                before += len(name)
         if now is not None:
-            yield out(now)
+            yield out(now, held)
+
+    return postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(work), GATHERED)
 
-    return postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(work), PACKED)
 
+DISHES = ["bucket", "sizes", "often", "rare", "small", "count"]
 
-class Bucket:
-    """A bucket's rows and its dishes after the sweeps whose totals are given."""
 
-    def __init__(self, row: pa.RecordBatch, vocabulary: Vocabulary, settings: Settings, history: list[Totals], each=None):
-        self.word, self.room, self.doc, self.count = _unpack(row)
-        self.hashes, self.of_word = np.unique(self.word, return_inverse=True)
-        keys, self.pair = np.unique(self.of_word * settings.rooms + self.room, return_inverse=True)
-        n = np.where(self.count > 0, self.count, np.where(self.count == 0, 1, 0))
-        trained = np.bincount(self.pair, n, len(keys)).astype(np.int64)
-        self.trained = np.bincount(self.of_word, n, len(self.hashes)).astype(np.int64)
-        self.dishes = Dishes(keys // settings.rooms, keys % settings.rooms, trained, len(self.hashes), vocabulary, settings, row.column(0)[0].as_py())
-        for number, totals in enumerate(history):
-            self.dishes.sweep(number + 1, totals)
-            if each:
-                each(self, number + 1)
+def _dishes(row: pa.RecordBatch, vocabulary: Vocabulary, settings: Settings) -> Dishes:
+    number, sizes, often, rare, small, count = (row.column(i)[0].as_py() for i in range(len(DISHES)))
+    key = np.concatenate([np.frombuffer(often, "<u2").astype(np.uint64), np.frombuffer(rare, "<u8")]).view(np.int64)
+    return Dishes(number, np.frombuffer(sizes, "<i8"), key, np.frombuffer(small, "<u2"), np.frombuffer(count, "<u4"), vocabulary, settings)
 
 
-def _sweep(gathered: DataFrame, vocabulary, settings: Settings, history: list[Totals]) -> Totals:
-    """The totals after the next sweep (or of the first seating)."""
+def _sweep(gathered: DataFrame, hot: HotPairs, sent, history: list[Sums], history_sent, parts: int) -> Sums:
+    """The sums after the next sweep (or of the first seating). The driver seats the customers of the hot pairs and of
+    the root, which are bounded."""
+    settings = hot.s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        customers = tables = np.zeros(settings.rooms + 1, np.int64)
+        total = None
         for batch in batches:
             for i in range(batch.num_rows):
-                own = Bucket(batch.slice(i, 1), vocabulary.value, settings, history).dishes.totals
-                customers, tables = customers + own.customers, tables + own.tables
-        yield pa.record_batch([pa.array(np.arange(settings.rooms + 1)), pa.array(customers), pa.array(tables)], ["room", "customers", "tables"])
-
-    rows = gathered.mapInArrow(lean(work), "room long, customers long, tables long").groupBy("room").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect()
-    customers, tables = np.zeros(settings.rooms + 1, np.int64), np.zeros(settings.rooms + 1, np.int64)
-    for r in rows:
-        customers[r["room"]], tables[r["room"]] = r["c"], r["t"]
-    return Totals(customers, tables)
-
-
-def _rate(gathered: DataFrame, vocabulary, settings: Settings, history: list[Totals]) -> DataFrame:
-    """kind 0: sums over a document's rarer tokens (log10 base, log10 model, known tokens) from one bucket; kind 1:
-    log10 probabilities of a frequent word in all rooms."""
-    names = ["kind", "doc", "base", "model", "known", "rooms"]
-    seatings, totals_after = history[:-1], history[1:]
+                own = _dishes(batch.slice(i, 1), sent.value, settings)
+                past = history_sent.value if history_sent else []
+                for number, before in enumerate(past):
+                    own.sweep(number + 1, before, number + 1 == len(past))
+                flat = np.concatenate(own.sums())
+                total = flat if total is None else total + flat
+        if total is not None:
+            yield _chunks(total)
+
+    f = hot.v.rare + 1
+    rooms = f + settings.classes
+    flat = _added(gathered.select(*DISHES).mapInArrow(lean(work), "chunk int, data binary"), 3 * f + 2 * rooms + 2, parts)
+    *often, room_customers, room_tables, rare = np.split(flat, np.cumsum([f, f, f, rooms, rooms]))
+    rng = np.random.Generator(np.random.Philox(key=[settings.seed * 1_000_003 + len(history), 3]))
+    if history:
+        hot.sweep(history[-1], rng)
+    customers, tables, dishes = (x + y for x, y in zip(often, hot.sums(), strict=True))
+    if history:
+        d, t = settings.discounts[0], settings.strengths[0]
+        dish_tables = seat(dishes, np.full(f, (t + d * history[-1].dish_tables.sum()) / f), d, rng)
+    else:
+        dish_tables = np.minimum(dishes, 1)
+    return Sums(customers, tables, dishes, dish_tables, room_customers, room_tables, rare)
+
+
+def _rate(gathered: DataFrame, sent, settings: Settings, history_sent) -> DataFrame:
+    """(doc, base, model, known): sums over a document's tokens in one bucket: of log10 probabilities, and of the
+    rarer words' base and training counts."""
+    names = ["doc", "base", "model", "known"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
-        s = settings
+        v, s, history = sent.value, settings, history_sent.value
         for batch in batches:
             for i in range(batch.num_rows):
-                sums: dict[str, np.ndarray] = {}
-
-                def each(bucket: Bucket, number: int) -> None:
-                    if number <= s.burn_in:
-                        return
-                    totals, d = totals_after[number - 1], bucket.dishes
-                    root, middle, own = d.predict(totals)
-                    at = np.flatnonzero(v.find(bucket.hashes) >= 0)
-                    full = np.empty((len(at), s.rooms))
-                    place = np.full(len(bucket.hashes), -1)
-                    place[at] = np.arange(len(at))
-                    rooms = np.arange(s.leaves, s.rooms)
-                    full[:, s.leaves :] = d.opening(1, rooms, totals) * root[at][:, None] / (s.strengths[1] + totals.customers[rooms])
-                    mine = place[d.middle_word] >= 0
-                    full[place[d.middle_word[mine]], s.leaves + d.middle[mine]] = middle[mine]
-                    leaves = np.arange(s.leaves)
-                    full[:, : s.leaves] = d.opening(2, leaves, totals) * full[:, s.leaves + v.parent] / (s.strengths[2] + totals.customers[leaves])
-                    mine = place[d.word] >= 0
-                    full[place[d.word[mine]], d.room[mine]] = own[mine]
-                    sums["own"] = sums.get("own", 0) + own / s.samples
-                    sums["full"] = sums.get("full", 0) + full / s.samples
-                    sums["at"] = at
-
-                bucket = Bucket(batch.slice(i, 1), v, s, seatings, each)
-                token = np.flatnonzero(bucket.count <= 0)
-                docs, inverse = np.unique(bucket.doc[token], return_inverse=True)
-                trained = bucket.trained[bucket.of_word[token]]
-                # without any token the sums of nothing would be whole numbers
-                base = np.bincount(inverse, np.log10((trained + 1) / (v.tokens + v.types + 1)), len(docs)).astype(float)
-                model = np.bincount(inverse, np.log10(sums["own"][bucket.pair[token]]), len(docs)).astype(float)
-                known = np.bincount(inverse, trained > 0, len(docs)).astype(np.int64)
-                yield pa.record_batch([pa.array(np.zeros(len(docs)), pa.int32()), pa.array(docs), pa.array(base), pa.array(model), pa.array(known), pa.nulls(len(docs), pa.binary())], names)
-                raw = np.log10(sums["full"]).astype("<f4")
-                hashes = bucket.hashes[sums["at"]].view(np.int64)
-                m = len(hashes)
-                yield pa.record_batch([pa.array(np.ones(m), pa.int32()), pa.array(hashes), pa.array(np.zeros(m)), pa.array(np.zeros(m)), pa.array(np.zeros(m, np.int64)), pa.array([x.tobytes() for x in raw], pa.binary())], names)
-
-    return gathered.mapInArrow(lean(work), "kind int, doc long, base double, model double, known long, rooms binary")
+                row = batch.slice(i, 1)
+                own = _dishes(row, v, s)
+                mean = 0.0
+                for number in range(1, len(history)):
+                    own.sweep(number, history[number - 1])
+                    if number > s.burn_in:
+                        mean = mean + np.concatenate(own.predict(history[number])) / s.samples
+                each, doc, docs = (np.frombuffer(row.column(len(DISHES) + j)[0].as_py(), t) for j, t in enumerate(("<u4", "<u4", "<i8")))
+                model = np.bincount(doc, np.repeat(np.log10(mean), each), len(docs))
+                trained = own._summed(WHICH, own.count[WHICH])[own.own[WHICH]]
+                which = len(own.count[OFTEN]) + len(own.count[RARE])
+                rest = each[which:]
+                at = doc[len(doc) - int(rest.sum()) :]
+                base = np.bincount(at, np.repeat(np.log10((trained + 1) / (v.tokens + v.types + 1)), rest), len(docs)).astype(float)
+                known = np.bincount(at, np.repeat(trained > 0, rest), len(docs)).astype(np.int64)
+                yield pa.record_batch([pa.array(docs), pa.array(base), pa.array(model.astype(float)), pa.array(known)], names)
+
+    return gathered.mapInArrow(lean(work), "doc long, base double, model double, known long")
+
+
+def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the frequent words: whole classes of counts, from the greatest on, while they
+    hold at most so many words."""
+    class_ = F.floor(F.log2("n") * 16).cast("int")
+    bound = total = 0
+    classes = counts.groupBy(class_.alias("class")).agg(F.count("*").alias("words")).orderBy(F.desc("class")).collect()  # at most 1,024
+    for r in classes:
+        total += r["words"]
+        if total > most:
+            bound = r["class"] + 1
+            break
+    rows = counts.where(class_ >= bound).select("word", "n").collect()  # at most `most`
+    hashes = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r["n"] for r in rows], np.int64)[order]
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, is_held_out: Column, settings: Settings | None = None) -> DataFrame:
@@ -398,52 +546,44 @@ def score_documents(spark: SparkSession, docs: DataFrame, is_held_out: Column, s
     flagged = flagged.withColumn("train", ~F.col("held_out"))
     counts = stage.write(_count(flagged), "counts")
     n, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(settings.frequent).collect()
+    vocabulary = Vocabulary(*_frequent(counts, settings.frequent), int(n), int(types), settings.hot)
     stage.drop(counts)
-    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    rank = np.arange(len(top))
-    tails = np.array([r["tail"] for r in top], np.int64)
-    parent = np.zeros(settings.leaves, np.int64)
-    m = min(settings.leaves, len(top))
-    parent[:m] = class_of(tails[:m] // 256, tails[:m] % 256, settings.classes)
-    vocabulary = Vocabulary(hashes[order], np.array([r["n"] for r in top], np.int64)[order], np.where(rank < settings.leaves, rank, -1)[order], parent, int(n), int(types))
-    sent = spark.sparkContext.broadcast(vocabulary)
-    buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
-    posted = stage.write(_postings(flagged, sent, settings, buckets), "postings")
-    gathered = stage.write(_gather(posted, buckets), "gathered")
-    stage.drop(posted)
-    history = [_sweep(gathered, sent, settings, [])]
-    for _ in range(settings.burn_in + settings.samples):
-        history.append(_sweep(gathered, sent, settings, history))
-    rated = stage.write(_rate(gathered, sent, settings, history), "rated")
-    stage.drop(gathered)
-    rare = rated.where("kind = 0").groupBy("doc").agg(F.sum("base").alias("rare_base"), F.sum("model").alias("rare_model"), F.sum("known").alias("rare_known"))
-    rows = rated.where("kind = 1").select("doc", "rooms").collect()  # at most `frequent` rows
-    table_ = np.zeros((max(1, len(vocabulary.hashes)), settings.rooms), np.float32)
-    for r in rows:
-        table_[vocabulary.find(np.array([r["doc"]], np.int64).view(np.uint64))[0]] = np.frombuffer(r["rooms"], "<f4")
-    chances = spark.sparkContext.broadcast(table_)
+    context = spark.sparkContext
+    sent = context.broadcast(vocabulary)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
+    buckets = max(parts, -(-int(n) // settings.bucket_tokens))
+    gathered = stage.write(_gather(_postings(flagged, sent, settings, buckets), buckets), "gathered")
+    hot = HotPairs(_hot_counts(flagged, vocabulary, sent, parts), vocabulary, settings)
+    history: list[Sums] = []
+    history_sent = None
+    for number in range(1 + settings.burn_in + settings.samples):
+        history.append(_sweep(gathered, hot, sent, history, history_sent, parts))
+        history_sent = context.broadcast(list(history))
+        if number > settings.burn_in:
+            hot.sample(history[-1])
+    logs = context.broadcast(np.log10(hot.mean))
+    rated = _rate(gathered, sent, settings, history_sent)
+    rated = rated.groupBy("doc").agg(F.sum("base").alias("rare_base"), F.sum("model").alias("model"), F.sum("known").alias("rare_known"))
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, logs = sent.value, chances.value
+        v = sent.value
         for batch in slices(batches, 1_024):
             doc = batch.column(0).to_numpy()
             for begin, end, texts in _texts(batch.column(1)):
-                found, counts_, last, second, first = tokens(texts)
+                found, counts_, _, _, first = tokens(texts)
                 known = v.find(found)
-                room = rooms_of(v, settings, known, last, second, first)
                 of = np.repeat(np.arange(end - begin), counts_)
+                cell = _contexts(v, known, first)[2]
+                model = np.bincount(of[cell >= 0], logs.value[cell[cell >= 0]], end - begin).astype(float)
                 at = known >= 0
                 base = np.bincount(of[at], np.log10((v.counts[known[at]] + 1) / (v.tokens + v.types + 1)), end - begin) if at.any() else np.zeros(end - begin)
-                model = np.bincount(of[at], logs[known[at], room[at]].astype(float), end - begin) if at.any() else np.zeros(end - begin)
                 seen = np.bincount(of[at], minlength=end - begin)
-                yield pa.record_batch([pa.array(doc[begin:end]), pa.array(counts_), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(model)], ["doc", "n_tokens", "known", "base", "model"])
+                yield pa.record_batch([pa.array(doc[begin:end]), pa.array(counts_), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(model)], ["doc", "n_tokens", "known", "base", "hot"])
 
-    frequent = flagged.select("doc", "text").mapInArrow(lean(often), "doc long, n_tokens long, known long, base double, model double")
+    frequent = flagged.select("doc", "text").mapInArrow(lean(often), "doc long, n_tokens long, known long, base double, hot double")
     # rows that are equal in id and text are summed up together; each gets its share
-    frequent = frequent.groupBy("doc").agg(F.count("*").alias("rows"), *(F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "model")))
-    joined = flagged.select("doc_id", "doc", "held_out").join(frequent, "doc").join(rare, "doc", "left")
+    frequent = frequent.groupBy("doc").agg(F.count("*").alias("rows"), *(F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "hot")))
+    joined = flagged.select("doc_id", "doc", "held_out").join(frequent, "doc").join(rated, "doc", "left")
     zero = F.lit(0)
     shared = lambda c: (c / F.col("rows")).cast("long")
     return joined.select(
@@ -453,7 +593,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, is_held_out: Column, s
         shared(F.col("known") + F.coalesce("rare_known", zero)).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
         ((F.col("base") + F.coalesce("rare_base", zero)) / F.col("rows")).alias("base_score"),
-        ((F.col("model") + F.coalesce("rare_model", zero)) / F.col("rows")).alias("score"),
+        ((F.col("hot") + F.coalesce("model", zero)) / F.col("rows")).alias("score"),
     )
 
 

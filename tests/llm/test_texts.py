@@ -306,12 +306,12 @@ def test_toxicity_learns_an_insult_of_few_documents(spark):
     assert sum(got[i]["predicted"] for i in range(450, 4000)) == 0
 
 
-@pytest.mark.parametrize("extra", [False, True])
-def test_language_model(spark, extra):
+@pytest.mark.parametrize(("extra", "hot"), [(False, 512), (True, 4)])
+def test_language_model(spark, extra, hot):
     docs = [d for d in documents(5) if d[0] is not None]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     expr = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
-    settings = pitman_yor.Settings(frequent=30, leaves=5, classes=8)
+    settings = pitman_yor.Settings(frequent=30, classes=8, hot=hot)
     got = {r["doc_id"]: r for r in pitman_yor.score_documents(spark, frame(spark, docs, extra), expr, settings).collect()}
     tokens = {i: [*lower_words(t), None] for i, t, *_ in docs}
     counts = Counter(w for i, ws in tokens.items() if not held(i) for w in ws)
@@ -343,23 +343,45 @@ def test_language_model_of_small_corpora_at_its_defaults(spark):
 
 
 def test_seating_and_probabilities():
-    s = pitman_yor.Settings(leaves=2, classes=3)
+    s = pitman_yor.Settings(classes=2)
     rng = np.random.default_rng(1)
-    word = np.repeat(np.arange(40), 3)
-    room = np.tile([0, 1, 3], 40)
-    count = rng.integers(0, 30, 120)
-    vocabulary = pitman_yor.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([0, 1]), int(count.sum()), 40)
-    d = pitman_yor.Dishes(word, room, count, 40, vocabulary, s, 1)
-    totals = d.totals
+    # three frequent words (numbers 0 to 2, 3: rarer words, or beginnings), 30 rarer ones, two contexts of each kind
+    v = pitman_yor.Vocabulary(np.arange(3, dtype=np.uint64), np.ones(3, np.int64), 1_000, 33, 0)
+    often, rare = np.repeat([0, 3], 4), np.repeat([70, 90], 4)
+    which = np.repeat(np.arange(100, 130), 2)
+    key = np.concatenate([often, rare, which])
+    small = np.concatenate([np.tile(np.arange(4), 4), np.tile([0, 5], 30)])
+    count = np.concatenate([rng.integers(0, 30, 16), rng.integers(0, 30, 60)])
+    d = pitman_yor.Dishes(1, np.array([8, 8, 60]), key, small, count, v, s)
+    hot = pitman_yor.HotPairs(np.array([7]), v, s)
+
+    def summed(before):
+        parts = d.sums()
+        customers, tables, dishes = (x + y for x, y in zip(parts[:3], hot.sums()))
+        rooted = np.minimum(dishes, 1) if before is None else pitman_yor.seat(dishes, np.full(4, 10.0), 0.7, rng)
+        return pitman_yor.Sums(customers, tables, dishes, rooted, *parts[3:])
+
+    # the matrix holds the pair of a beginning and a rarer word, so the bucket has none
+    d.count[pitman_yor.OFTEN][7] = d.tables[pitman_yor.OFTEN][7] = 0
+    sums = summed(None)
     for number in range(3):
-        d.sweep(number + 1, totals)
-        totals = d.totals
-        assert (d.leaf_tables <= count[d.leaf]).all() and ((d.leaf_tables > 0) == (count[d.leaf] > 0)).all()
-        root, _, own = d.predict(totals)
-        # all words and the unknown one share the whole probability
-        unknown = d.opening(0, -1, totals) * d.base / (s.strengths[0] + totals.customers[-1])
-        assert root.sum() + unknown == pytest.approx(1)
-        rest = unknown * d.opening(1, 3, totals) / (s.strengths[1] + totals.customers[3])
-        assert own[room == 3].sum() + rest == pytest.approx(1)
+        before, sums = sums, None
+        d.sweep(number + 1, before)
+        hot.sweep(before, rng)
+        sums = summed(before)
+        for k in range(3):
+            assert (d.tables[k] <= d.count[k]).all() and ((d.tables[k] > 0) == (d.count[k] > 0)).all()
+        hot.mean[:] = 0
+        hot.sample(sums)
+        p = d.predict(sums)
+        # the dishes of each restaurant share the whole probability, with the unknown word's part upstairs
+        assert sums.chances(s).sum() == pytest.approx(1)
+        assert p[0][:4].sum() == pytest.approx(1)
+        assert p[0][4:7].sum() + hot.mean[0] * s.samples == pytest.approx(1)
+        assert p[1][:4].sum() == pytest.approx(1) and p[1][4:].sum() == pytest.approx(1)
+        unknown = (s.strengths[0] + s.discounts[0] * sums.rare[1]) * d.rare_base / (s.strengths[0] + sums.rare[0])
+        for room in (0, 5):
+            rest = unknown * (s.strengths[1] + s.discounts[1] * sums.room_tables[room]) / (s.strengths[1] + sums.room_customers[room])
+            assert p[2][small[16:] == room].sum() + rest == pytest.approx(1)
     tables = pitman_yor.seat(np.array([0, 1, 5, 100_000]), np.full(4, 10.0), 0.5, np.random.default_rng(2))
     assert tables[0] == 0 and tables[1] == 1 and 1 <= tables[2] <= 5 and 10 < tables[3] < 100_000
