@@ -42,7 +42,8 @@ OFTEN, RARE, WHICH = 0, 1, 2
 class Settings:
     """frequent: most words of the table that is sent to all. classes: second-floor restaurants of rarer previous
     words (frequent + classes stay below 65,000). discounts and strengths: of the roots, of the restaurants.
-    hot: words whose pairs are counted in a matrix. bucket_tokens: training tokens for each bucket."""
+    hot: words whose pairs are counted in a matrix. buckets: of corpora that give each at least 10,000 training
+    tokens; more for corpora that would give one more than bucket_tokens."""
 
     frequent: int = 60_000
     hot: int = 512
@@ -52,6 +53,7 @@ class Settings:
     seed: int = 11
     discounts: tuple[float, float] = (0.7, 0.8)
     strengths: tuple[float, float] = (10.0, 10.0)
+    buckets: int = 128
     bucket_tokens: int = 2_000_000
 
 
@@ -551,7 +553,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, is_held_out: Column, s
     context = spark.sparkContext
     sent = context.broadcast(vocabulary)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
-    buckets = max(parts, -(-int(n) // settings.bucket_tokens))
+    buckets = max(parts, min(settings.buckets, int(n) // 10_000), -(-int(n) // settings.bucket_tokens))
     gathered = stage.write(_gather(_postings(flagged, sent, settings, buckets), buckets), "gathered")
     hot = HotPairs(_hot_counts(flagged, vocabulary, sent, parts), vocabulary, settings)
     history: list[Sums] = []
