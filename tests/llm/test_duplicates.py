@@ -150,3 +150,43 @@ def test_suffix_dedup_of_odd_rows(spark):
     # goes and all but one of the x
     assert {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in out} == {(None, 160): 158, (1, 160): 160, (1, 280): 279, (2, 0): 0}
     assert all(isinstance(r["kept"], str) for r in out)
+
+
+def test_vectors_are_sent_to_few_groups(spark, monkeypatch):
+    """However many cells are in reach, a vector is sent at most once to each of half the groups, besides its own."""
+    from pyspark.sql import DataFrame
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 24)).astype(np.float32)
+    x[200:260] = x[:60] + rng.normal(size=(60, 24)) * rng.uniform(0.1, 0.5, size=(60, 1))
+    data = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    sent = []
+    plain = DataFrame.sortWithinPartitions
+    monkeypatch.setattr(DataFrame, "sortWithinPartitions", lambda self, *a, **k: sent.append(self.count()) or plain(self, *a, **k))
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(spark, data, cell_rows=4).collect()}
+    u = x.astype(float)
+    cosine = u @ u.T / np.sqrt(np.outer((u * u).sum(axis=1), (u * u).sum(axis=1)))
+    assert got == dict(enumerate(((cosine >= 0.95).sum(axis=1) - 1).tolist()))
+    assert sum(sent) <= 5 * len(x)
+
+
+def test_sketches_decide_only_what_they_can():
+    """Pairs at the threshold are left open, others are decided, and each pair once."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 8))
+    x[30:] = x[:30] + rng.normal(size=(30, 8)) * 0.3
+    units = vectors.unit(x)
+    exact = units @ units.T
+    short, step, off = vectors.sketch(units)
+    assert (np.sqrt(np.square(units - short * step[:, None].astype(float)).sum(axis=1)) <= off).all()
+    least = float(exact[0, 30])
+    ids, ones = np.arange(60), np.ones(60, int)
+    group = vectors.Group(ids[:40], ones[:40], short[:40], step[:40], off[:40], least)
+    rows = [r for kinds, a, b in [*group.inner(8, 16), *group.meet(ids[40:], ones[40:], short[40:], step[40:], off[40:], 8, 16), *group.end()] for r in zip(kinds.tolist(), a.tolist(), b.tolist(), strict=True)]
+    still = {tuple(sorted(r[1:])) for r in rows if r[0] == 2}
+    assert (0, 30) in still and len(still) < 5
+    counted = np.zeros(60, int)
+    for kind, a, n in rows:
+        counted[a] += n if kind == 0 else 0
+    expected = np.array([[i != j and min(i, j) < 40 and exact[i, j] >= least and (min(i, j), max(i, j)) not in still for j in range(60)] for i in range(60)]).sum(axis=1)
+    assert counted.tolist() == expected.tolist()
