@@ -120,6 +120,34 @@ def test_betweenness(spark, rows, way):
     assert rows(way(edges(spark, [("a", "b"), ("b", "c"), ("a", "c")]))) == [("a", "b", 1.0), ("a", "c", 1.0), ("b", "c", 1.0)]
 
 
+def test_ways_of_betweenness_agree(spark, monkeypatch):
+    """A graph of several components, by edges sent to all tasks, by components and by joins."""
+    rng = random.Random(4)
+    pairs = sorted({tuple(sorted(rng.sample(range(40 * k, 40 * k + 25), 2))) for k in range(3) for _ in range(50)})
+    data = frame(spark, pairs, "src long, dst long")
+    got = lambda df: {(r["src"], r["dst"]): round(r["betweenness"], 8) for r in df.collect()}
+    sent = got(graph.edge_betweenness(data))
+    joined = got(graph.edge_betweenness_by_joins(data))
+    assert len(sent) == len(pairs) and sent == joined
+    monkeypatch.setattr(graph, "MOST_SENT_EDGES", 60)
+    monkeypatch.setattr(graph, "edge_betweenness_by_joins", None)
+    assert got(graph.edge_betweenness(data)) == joined
+
+
+def test_shared_counts_expand_no_pair(spark, rows):
+    rng = random.Random(5)
+    pairs = sorted({(f"u{rng.randrange(30)}", rng.randrange(40)) for _ in range(400)}) * 2 + [(None, 1), ("u1", None), ("u2", None)]
+    data = frame(spark, pairs, "u string, i int").repartition(7)
+    have = {}
+    for u, i in pairs:
+        if u is not None and i is not None:
+            have.setdefault(u, set()).add(i)
+    expected = sorted((a, b, len(have[a] & have[b])) for a in have for b in have if a < b and have[a] & have[b])
+    counted = graph.shared_counts(data, "u", "i")
+    assert rows(counted, "src", "dst", "n") == expected
+    assert "Join" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_modularity_components_and_labels(spark, rows):
     two = edges(spark, [("a", "b"), ("c", "d")])
     groups = graph.components(two)
