@@ -303,3 +303,17 @@ def test_bitmaps_lose_no_pair(spark, rows):
     kept = rows(similarity.possible(pairs, met, 0.5), "a", "b")
     assert set(expected) <= set(kept) and len(kept) < met.count()
     assert rows(similarity.similar_pairs_exact(pairs), "a", "b") == expected
+
+
+def test_groups_lose_and_repeat_no_pair(spark, rows):
+    """Pairs met by groups inside tasks are those of the joins, each once, with members that repeat and wide ones."""
+    rng = random.Random(11)
+    sets = {i: {rng.randrange(60) for _ in range(rng.randint(1, 12))} | ({1 << 40} if i % 9 == 0 else set()) for i in range(90)}
+    sets |= {i: sets[i - 60] for i in range(100, 130)}
+    pairs = frame(spark, [(k, m) for k, x in sets.items() for m in x] * 2 + [(None, 1)], "item long, member long").repartition(5)
+    small = pairs.where("member < 100 AND item IS NOT NULL")
+    assert rows(similarity.bucket_pairs(small)) == rows(similarity.candidate_pairs(similarity.bands(similarity.signatures(small))))
+    expected = sorted((a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b]))
+    assert rows(similarity.similar_pairs_exact(pairs)) == expected
+    for found in (similarity.bucket_pairs(small), similarity.similar_pairs_exact(pairs)):
+        assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
