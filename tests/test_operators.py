@@ -164,6 +164,36 @@ def test_girvan_newman_splits_at_the_bridge(spark, rows):
     assert rounds.count() >= 2
 
 
+def test_girvan_newman_takes_components_apart_in_few_jobs(spark, rows):
+    """Copies of a graph whose edges go in many rounds, beside a square whose edges all tie: rounds, modularity and
+    groups are those of the walk of the whole graph in each round, without jobs for each round."""
+    rng = random.Random(11)
+    one = sorted({tuple(sorted(rng.sample(range(9), 2))) for _ in range(16)})
+    pairs = [(a + k, b + k) for k in (0, 100) for a, b in one] + [(200, 201), (201, 202), (202, 203), (200, 203)]
+    data = frame(spark, pairs, "src long, dst long").cache()
+    context = spark.sparkContext
+    context.setJobGroup("apart", "")
+    rounds, groups = graph.girvan_newman(data)
+    got, found = rows(rounds), rows(groups)
+    jobs = len(context.statusTracker().getJobIdsForGroup("apart"))
+    context.setJobGroup("rounds", "")
+    plain = graph.girvan_newman_by_rounds(data)
+    assert found == rows(plain[1])
+    assert [(a, round(b, 12), c) for a, b, c in got] == [(a, round(b, 12), c) for a, b, c in rows(plain[0])]
+    assert len(got) > 6 and jobs < 60 < len(context.statusTracker().getJobIdsForGroup("rounds"))
+    assert rows(graph.girvan_newman(data, 2)[1]) == rows(graph.girvan_newman_by_rounds(data, 2)[1])
+
+
+def test_girvan_newman_of_strings_and_large_components(spark, rows, monkeypatch):
+    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("d", "f")]
+    data = frame(spark, pairs, "src string, dst string")
+    expected = [(x, "a") for x in "abc"] + [(x, "d") for x in "def"]
+    assert rows(graph.girvan_newman(data)[1]) == expected
+    monkeypatch.setattr(graph, "MOST_HELD_NODES", 3)
+    assert rows(graph.girvan_newman(data)[1]) == expected
+    assert rows(graph.girvan_newman(frame(spark, [], "src long, dst long"))[1]) == []
+
+
 def test_bloom(spark, rows):
     stream = frame(spark, [(0, 0, "x"), (0, 1, "y"), (1, 2, "x"), (1, 3, "z"), (2, 4, "x")], "ask long, seq long, id string")
     out = rows(sketches.bloom_false_positives(stream))
