@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import BLOOM_BITS, STREAM_HASHES
 from ..operators import clustering, graph, itemsets, recommend, relational, similarity, sketches
+from ..operators.iteration import stored
 from ..sources import sinks
 from ..sources.readers import table
 from ..sources.schemas import COMPLIMENTS
@@ -377,8 +378,8 @@ def user_features(spark, d):
 FEATURES = ["business_mean", "review_count", "balance", "segment_length", "user_reviews", "user_mean", "user_useful"]
 
 
-def _boosted(spark, d):
-    rows = recommend.feature_table(v.reviews(spark, d), v.users(spark, d), v.businesses(spark, d))
+def _boosted(spark, d, rows=None, users=None, businesses=None):
+    rows = recommend.feature_table(rows or v.reviews(spark, d), users or v.users(spark, d), businesses or v.businesses(spark, d))
     part = F.col("order_id") % 5
     return recommend.boosted(rows.where(part != 3), rows.where(part == 3), FEATURES)
 
@@ -398,11 +399,13 @@ def rating_eval(spark, d):
 
 def _hybrid(spark, d):
     """The whole blend: regression by boosted trees, collaborative filtering and means, learned from all but a fifth."""
-    train, val = v.split(v.ratings(spark, d), 5, 3)
-    cf = recommend.predict(train, val, 15).select(F.col("user").alias("user_id"), F.col("item").alias("business_id"), F.col("prediction").alias("item_cf"))
-    trees = _boosted(spark, d).groupBy("user_id", "business_id").agg(F.max("regression").alias("regression"), F.max("stars").alias("stars"))
-    facts = recommend.feature_table(trees.join(cf, ["user_id", "business_id"]), v.users(spark, d), v.businesses(spark, d))
-    rates = recommend.useful_mean(v.reviews(spark, d)).withColumnRenamed("rate", "useful_rate")
+    rows = stored(v.reviews(spark, d).select("user_id", "business_id", "order_id", "stars", "useful"))
+    users, businesses = stored(v.users(spark, d, rows)), stored(v.businesses(spark, d, rows))
+    train, val = v.split(stored(v.ratings(spark, d, rows)), 5, 3)
+    cf = stored(recommend.predict(train, val, 15).select(F.col("user").alias("user_id"), F.col("item").alias("business_id"), F.col("prediction").alias("item_cf")))
+    trees = _boosted(spark, d, rows, users, businesses).groupBy("user_id", "business_id").agg(F.max("regression").alias("regression"), F.max("stars").alias("stars"))
+    facts = recommend.feature_table(stored(trees).join(cf, ["user_id", "business_id"]), users, businesses)
+    rates = recommend.useful_mean(rows).withColumnRenamed("rate", "useful_rate")
     return recommend.blend(facts.join(rates, "business_id", "left"))
 
 

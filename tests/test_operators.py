@@ -63,6 +63,26 @@ def test_cold_start(spark):
     assert got[2, 99] == pytest.approx(3.628701193699879)
 
 
+def test_near_means_make_no_row_of_a_pair(spark):
+    """String keys and several groups: the means are those of the pairs' correlations, and no pair is in the plan."""
+    rng = random.Random(8)
+    rated = {(f"u{rng.randrange(25)}", f"i{rng.randrange(12)}"): rng.randrange(1, 6) for _ in range(200)}
+    asked = {k for k in rated if rng.random() < 0.2}
+    train = frame(spark, [(*k, s) for k, s in rated.items() if k not in asked] + [(None, "i1", 5), ("u1", None, 5)], "user string, item string, stars long")
+    wanted = frame(spark, sorted(asked), "user string, item string")
+    weight = {(r["item_a"], r["item_b"]): r["w"] for r in recommend.item_pearson(train, recommend.needed_pairs(train, wanted)).collect()}
+    for most in (3, None):
+        expected = {}
+        for user, item in asked:
+            best = sorted((-round(weight.get((item, b), 0), 9), b, s) for (u, b), s in rated.items() if u == user and (u, b) not in asked and weight.get((item, b), 0) > 0)[:most]
+            if best:
+                expected[user, item] = sum(w * s for w, _, s in best) / sum(w for w, _, _ in best)
+        got = {(r["user"], r["item"]): r["near"] for r in recommend.near_means(train, wanted, most, 3, 40).collect()}
+        assert got == pytest.approx(expected, abs=1e-7) and len(got) > 5
+    plan = recommend.predict(train, wanted, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "item_b" not in plan and "Window" not in plan
+
+
 def test_useful_mean(spark):
     reviews = frame(spark, [("b", 5.0, 0), ("b", 1.0, 50)], "business_id string, stars double, useful long")
     assert recommend.useful_mean(reviews).first()["rate"] == pytest.approx(350 / 150)
