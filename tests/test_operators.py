@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from siltworks.functions import hashing
@@ -154,6 +155,28 @@ def test_ways_of_betweenness_agree(spark, monkeypatch):
     assert got(graph.edge_betweenness(data)) == joined
 
 
+def test_walks_of_betweenness_agree():
+    """Levels by visits to neighbours, in one chunk or many, and by products with the adjacency matrix."""
+    rng = random.Random(8)
+    pairs = np.array(sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(70)}))
+    walk, nodes = graph.path_flows(), 40
+    flow = lambda k, *how: sum(walk(pairs[:, 0], pairs[:, 1], nodes, np.arange(i, min(i + k, nodes)), np.arange(min(k, nodes - i)), *how) for i in range(0, nodes, k))
+    expected = flow(1, 1 << 20, 0)
+    for k in (7, 40):
+        for how in ((1 << 20, 0), (20, 0), (1 << 20, 5), (20, 30), (1 << 20, 10**9)):
+            assert flow(k, *how) == pytest.approx(expected, abs=1e-9)
+
+
+def test_betweenness_of_many_edges_takes_no_joins(spark, monkeypatch):
+    """All pairs of 640 nodes, 204,480 edges in one component, beside many small components."""
+    monkeypatch.setattr(graph, "edge_betweenness_by_joins", None)
+    nodes = spark.range(640).select(F.col("id").alias("src"))
+    full = nodes.join(nodes.select(F.col("src").alias("dst"))).where("src < dst")
+    paths = spark.range(1000, 2000, 4).selectExpr("explode(array(struct(id AS src, id + 1 AS dst), struct(id + 1 AS src, id + 2 AS dst))) AS e").select("e.*")
+    found = graph.edge_betweenness(full.union(paths)).groupBy((F.col("src") >= 1000).alias("path"), F.round("betweenness", 9).alias("b")).count()
+    assert sorted(tuple(r) for r in found.collect()) == [(False, 1.0, 204_480), (True, 2.0, 500)]
+
+
 def test_shared_counts_expand_no_pair(spark, rows):
     rng = random.Random(5)
     pairs = sorted({(f"u{rng.randrange(30)}", rng.randrange(40)) for _ in range(400)}) * 2 + [(None, 1), ("u1", None), ("u2", None)]
