@@ -237,6 +237,16 @@ def test_girvan_newman_of_strings_and_large_components(spark, rows, monkeypatch)
     assert rows(graph.girvan_newman(frame(spark, [], "src long, dst long"))[1]) == []
 
 
+def test_girvan_newman_holds_components_of_many_nodes(spark, monkeypatch):
+    """Two binary trees of 1,300 nodes each, joined by their roots: one component, not taken apart by rounds."""
+    monkeypatch.setattr(graph, "girvan_newman_by_rounds", None)
+    pairs = [(k + i // 2, k + i) for k in (0, 2000) for i in range(2, 1301)] + [(1, 2001)]
+    rounds, groups = graph.girvan_newman(frame(spark, pairs, "src long, dst long"))
+    history = sorted(tuple(r) for r in rounds.collect())
+    assert [r[2] for r in history[:2]] == [1, 2] and history[-1][1:] == (0.0, 2600)
+    assert groups.count() == 2600 and groups.select("component").distinct().count() == next(r[2] for r in history if r[1] == max(q for _, q, _ in history))
+
+
 def test_bloom(spark, rows):
     stream = frame(spark, [(0, 0, "x"), (0, 1, "y"), (1, 2, "x"), (1, 3, "z"), (2, 4, "x")], "ask long, seq long, id string")
     out = rows(sketches.bloom_false_positives(stream))
