@@ -167,13 +167,14 @@ def test_walks_of_betweenness_agree():
             assert flow(k, *how) == pytest.approx(expected, abs=1e-9)
 
 
-def test_betweenness_of_many_edges_takes_no_joins(spark, monkeypatch):
+@pytest.mark.parametrize("way", [graph.edge_betweenness, graph.edge_betweenness_by_roots])
+def test_betweenness_of_many_edges_takes_no_joins(spark, monkeypatch, way):
     """All pairs of 640 nodes, 204,480 edges in one component, beside many small components."""
     monkeypatch.setattr(graph, "edge_betweenness_by_joins", None)
     nodes = spark.range(640).select(F.col("id").alias("src"))
     full = nodes.join(nodes.select(F.col("src").alias("dst"))).where("src < dst")
     paths = spark.range(1000, 2000, 4).selectExpr("explode(array(struct(id AS src, id + 1 AS dst), struct(id + 1 AS src, id + 2 AS dst))) AS e").select("e.*")
-    found = graph.edge_betweenness(full.union(paths)).groupBy((F.col("src") >= 1000).alias("path"), F.round("betweenness", 9).alias("b")).count()
+    found = way(full.union(paths)).groupBy((F.col("src") >= 1000).alias("path"), F.round("betweenness", 9).alias("b")).count()
     assert sorted(tuple(r) for r in found.collect()) == [(False, 1.0, 204_480), (True, 2.0, 500)]
 
 
